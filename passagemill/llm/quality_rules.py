@@ -22,7 +22,7 @@ SYMBOLS = "#*$%&|<>"
 #: Frequent function words of English, German, French and Spanish.
 FUNCTION_WORDS = ["the", "of", "and", "to", "der", "die", "und", "in", "de", "la", "le", "et", "que", "el", "en", "los"]
 WINDOW = 5
-RULES = ["length", "symbols", "bangs", "repeats", "dup_lines", "word_length", "function_words", "case"]
+RULES = ["length", "symbols", "bangs", "repeats", "dup_lines", "word_length", "function_words", "case", "junk"]
 ROUNDS = 50
 PRIOR_GOOD = 0.8
 
@@ -83,10 +83,11 @@ def votes(m: Column) -> list[Column]:
         vote(m["n_symbols"] * 10 > n, m["n_symbols"] * 50 <= n),
         vote(m["n_bangs"] * 10 > n, m["n_bangs"] * 50 <= n),
         vote(m["n_repeat_words"] * 5 > n, m["n_repeat_words"] * 20 <= n),
-        vote(m["n_dup_lines"] * 10 > m["n_lines"] * 3, m["n_dup_lines"] == 0),
+        vote((m["n_dup_lines"] >= 2) & (m["n_dup_lines"] * 2 > m["n_lines"]), m["n_dup_lines"] == 0),
         vote((m["word_chars"] < n * 2) | (m["word_chars"] > n * 14), m["word_chars"].between(n * 3, n * 10)),
-        vote((m["n_function"] == 0) & (n >= 30), m["n_function"] >= 2),
+        vote((m["n_function"] == 0) & (n >= 100), m["n_function"] >= 2),
         vote(m["all_upper"], F.lit(False)),
+        vote(m["n_symbols"] * 4 > n, F.lit(False)),
     ]
 
 
@@ -110,27 +111,30 @@ def fit(counts: dict[int, int], rules: int = len(RULES), rounds: int = ROUNDS) -
     """Posterior probability of "good" for each vote pattern.
 
     Expectation-maximisation of a two-class model in which rules vote independently given the
-    class. Pseudo-counts keep a rule that never votes one way from deciding alone, and start it
-    as better than chance, which also fixes which class is the good one.
+    class; an abstention says nothing. ``bad[y][j]`` is how often rule j, when it votes, votes bad
+    on documents of class y. Pseudo-counts worth a tenth of the documents start the rules as
+    better than chance, which also fixes which class is the good one.
     """
-    start = {1: {1: 0.7, 0: 0.25, -1: 0.05}, 0: {1: 0.4, 0: 0.3, -1: 0.3}}
-    theta = {y: [dict(start[y]) for _ in range(rules)] for y in (0, 1)}
+    total = sum(counts.values())
+    strength, start = max(1.0, total / 10), {1: 0.005, 0: 0.25}
+    bad = {y: [start[y]] * rules for y in (0, 1)}
     prior, post = PRIOR_GOOD, {}
-    seen = {c: unpack(c, rules) for c in counts}
+    seen = {c: unpack(c, rules) for c in sorted(counts)}
     for _ in range(rounds):
         for c, v in seen.items():
-            good = math.log(prior) + sum(math.log(theta[1][j][x]) for j, x in enumerate(v))
-            bad = math.log(1 - prior) + sum(math.log(theta[0][j][x]) for j, x in enumerate(v))
-            post[c] = 1 / (1 + math.exp(min(700.0, bad - good)))
-        total = sum(counts.values())
-        weight = {1: sum(counts[c] * post[c] for c in sorted(counts)), 0: sum(counts[c] * (1 - post[c]) for c in sorted(counts))}
-        prior = (weight[1] + 8) / (total + 10)
+            odds = math.log(prior) - math.log(1 - prior)
+            for j, x in enumerate(v):
+                if x < 0:
+                    odds += math.log(bad[1][j]) - math.log(bad[0][j])
+                elif x > 0:
+                    odds += math.log(1 - bad[1][j]) - math.log(1 - bad[0][j])
+            post[c] = 1 / (1 + math.exp(min(700.0, -odds)))
+        prior = (sum(counts[c] * post[c] for c in seen) + 0.8 * strength) / (total + strength)
         for y in (0, 1):
             for j in range(rules):
-                mass = {x: 10 * p for x, p in start[y].items()}
-                for c in sorted(counts):
-                    mass[seen[c][j]] += counts[c] * (post[c] if y else 1 - post[c])
-                theta[y][j] = {x: m / (weight[y] + 10) for x, m in mass.items()}
+                said = sum(counts[c] * (post[c] if y else 1 - post[c]) for c, v in seen.items() if v[j])
+                said_bad = sum(counts[c] * (post[c] if y else 1 - post[c]) for c, v in seen.items() if v[j] < 0)
+                bad[y][j] = (said_bad + strength * start[y]) / (said + strength)
     return post
 
 
