@@ -8,6 +8,7 @@ MODULES = [
     "quality_rules",
     "url_filter",
     "pii",
+    "substrings",
 ]
 
 QUERIES: dict = {}
