@@ -9,6 +9,7 @@ MODULES = [
     "url_filter",
     "pii",
     "substrings",
+    "mixing",
 ]
 
 QUERIES: dict = {}
