@@ -10,6 +10,9 @@ MODULES = [
     "pii",
     "substrings",
     "mixing",
+    "licenses",
+    "html_text",
+    "quality_model",
 ]
 
 QUERIES: dict = {}
