@@ -24,7 +24,6 @@ packed, and once.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -141,23 +140,14 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.
         )
 
 
-PACKED_ROW = "did long, doc_id long, tag int, digest binary, packed binary"
+PACKED_ROW = "did long, tag int, digest string, packed binary"
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     squeeze = zstandard.ZstdCompressor(level=1)
     for batch in batches:
-        rows = []
-        for text in batch.column("text"):
-            raw = (text.as_py() or "").encode()
-            words = raw.split()
-            digest = hashlib.blake2b(b" ".join(words), digest_size=16).digest()
-            rows.append((int.from_bytes(digest[:4], "little", signed=True), digest if len(words) else None, squeeze.compress(raw)))
-        tag, digest, packed = zip(*rows) if rows else ((), (), ())
-        yield pa.record_batch(
-            [batch.column("did"), batch.column("doc_id"), pa.array(tag, pa.int32()), pa.array(digest, pa.binary()), pa.array(packed, pa.binary())],
-            names=["did", "doc_id", "tag", "digest", "packed"],
-        )
+        packed = [squeeze.compress((text.as_py() or "").encode()) for text in batch.column("text")]
+        yield pa.record_batch([batch.column("did"), batch.column("tag"), batch.column("digest"), pa.array(packed, pa.binary())], names=["did", "tag", "digest", "packed"])
 
 
 def _unpacked(column: pa.Array) -> pa.Array:
@@ -165,7 +155,7 @@ def _unpacked(column: pa.Array) -> pa.Array:
     return pa.array([expand.decompress(x.as_py()).decode() for x in column], pa.large_string())
 
 
-WINDOW_ROW = "h1 long, h2 int, did long, tag int, pos int, known boolean"
+WINDOW_ROW = "h1 long, h2 int, did long, spot long, known boolean"
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
@@ -173,7 +163,7 @@ def _window_rows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.
     for batch in batches:
         ids, tags = _ids(batch), batch.column("tag").to_numpy()
         wanted = batch.column("keys")
-        parts: list[list[np.ndarray]] = [[] for _ in range(5)]
+        parts: list[list[np.ndarray]] = [[] for _ in range(4)]
         for words in slices(_unpacked(batch.column("packed"))):
             at, of, key = anchors(words, window)
             if not len(at):
@@ -186,25 +176,19 @@ def _window_rows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.
             hit = np.isin(mix(key[of] ^ mix(own.astype(U) + U(1))), asked)
             h1, _ = grams(words.hash, words.bounds, window)
             h2, _ = grams(mix(words.hash + U(7)), words.bounds, window, 7)
-            local = at - words.bounds[own]
-            for part, value in zip(parts, (h1[hit], (h2[hit] >> U(32)), ids[words.rows][own[hit]], tags[words.rows][own[hit]], local[hit]), strict=True):
+            # Where a window is: its row's tag, which tells rows of one doc_id apart, and its first word.
+            spot = (tags[words.rows].astype(np.int64)[own] << 32) | (at - words.bounds[own])
+            for part, value in zip(parts, (h1[hit], (h2[hit] >> U(32)), ids[words.rows][own[hit]], spot[hit]), strict=True):
                 part.append(value)
         if not parts[0]:
             continue
-        h1, h2, doc, tag, pos = (np.concatenate(p) for p in parts)
+        h1, h2, doc, spot = (np.concatenate(p) for p in parts)
         order, new, group = _first_of([h1, h2], doc)
-        h1, h2, doc, tag, pos = h1[order], h2[order], doc[order], tag[order], pos[order]
+        h1, h2, doc, spot = h1[order], h2[order], doc[order], spot[order]
         known = doc > doc[new][group]
         yield pa.record_batch(
-            [
-                pa.array(h1.view(np.int64)),
-                pa.array(h2.astype(np.uint32).view(np.int32)),
-                pa.array(doc),
-                pa.array(tag.astype(np.int32)),
-                pa.array(pos.astype(np.int32)),
-                pa.array(known),
-            ],
-            names=["h1", "h2", "did", "tag", "pos", "known"],
+            [pa.array(h1.view(np.int64)), pa.array(h2.astype(np.uint32).view(np.int32)), pa.array(doc), pa.array(spot), pa.array(known)],
+            names=["h1", "h2", "did", "spot", "known"],
         )
 
 
@@ -215,20 +199,21 @@ def _removed(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
     expand = zstandard.ZstdDecompressor()
     for batch in batches:
         out = []
-        for doc, tag, packed, copy, gone in zip(*(batch.column(c) for c in ("doc_id", "tag", "packed", "copy", "gone")), strict=True):
+        for doc, tag, packed, copy, gone in zip(*(batch.column(c) for c in ("did", "tag", "packed", "copy", "gone")), strict=True):
             words = expand.decompress(packed.as_py()).split()
             n, spots = len(words), []
             if copy.as_py() and n >= window:
                 words = []
             elif gone.is_valid:
-                spots = [s["pos"] for s in gone.as_py() if s["tag"] == tag.as_py()]
-            if spots:
+                all_spots = np.asarray(gone.values)
+                spots = all_spots[all_spots >> 32 == tag.as_py()] & 0xFFFFFFFF
+            if len(spots):
                 edge = np.zeros(n + 1, np.int64)
                 np.add.at(edge, spots, 1)
-                np.add.at(edge, np.minimum(np.asarray(spots) + window, n), -1)
+                np.add.at(edge, np.minimum(spots + window, n), -1)
                 keep = np.cumsum(edge[:-1]) == 0
                 words = [w for w, k in zip(words, keep.tolist(), strict=True) if k]
-            out.append((doc.as_py(), n, n - len(words), b" ".join(words).decode()))
+            out.append((None if doc.as_py() == LAST else doc.as_py(), n, n - len(words), b" ".join(words).decode()))
         doc, n, removed, kept = zip(*out) if out else ((), (), (), ())
         yield pa.record_batch([pa.array(doc, pa.int64()), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text"])
 
@@ -243,7 +228,7 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     Returns doc_id, n_words, n_removed, kept_text (the kept words, joined by one space).
     """
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("did"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("did"), F.coalesce("text", F.lit("")).alias("text"))
     found = docs.select("did", "text").mapInArrow(lambda it: _anchor_rows(it, window), ANCHOR_ROW)
     by_key = Window.partitionBy("key")
     met = (
@@ -255,23 +240,22 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     # A document's keys are at most its words.
     asked = met.unionByName(found.where("known").select("did", "key")).groupBy("did").agg(F.collect_set("key").alias("keys"))
 
-    packed = docs.mapInArrow(_pack, PACKED_ROW)
     # Whole copies need no windows: the first document of a class speaks for it.
-    small = docs.mapInArrow(_pack, PACKED_ROW).select("did", "digest").where("digest is not null")
-    firsts = small.groupBy("digest").agg(F.min("did").alias("first"))
-    copies = small.join(firsts, "digest").where("did > first").select("did", "digest").distinct().withColumnsRenamed({"did": "copy_did", "digest": "copy_digest"})
-    same = (F.col("did") == F.col("copy_did")) & (F.col("digest") == F.col("copy_digest"))
-    packed = packed.join(copies, same, "left").select("did", "doc_id", "tag", "packed", F.col("copy_did").isNotNull().alias("copy"))
-
-    windows = (
-        packed.where("not copy").select("did", "tag", "packed").join(asked, "did").select("did", "tag", "packed", "keys")
-        .mapInArrow(lambda it: _window_rows(it, window), WINDOW_ROW)
-    )
+    named = docs.select("did", F.hash("text").alias("tag"), F.md5(F.col("text").cast("binary")).alias("digest"), "text")
+    classes = named.where("text != ''").select("did", "digest")
+    firsts = classes.groupBy("digest").agg(F.min("did").alias("first"))
+    copies = classes.join(firsts, "digest").where("did > first").groupBy("did").agg(F.collect_set("digest").alias("copied"))
+    # Everything by document joins on it alone, so the texts go through one exchange, used twice.
+    packed = named.mapInArrow(_pack, PACKED_ROW).join(copies, "did", "left")
+    copy = F.coalesce(F.array_contains("copied", F.col("digest")), F.lit(False))
+    packed = packed.select("did", "tag", "packed", copy.alias("copy"))
+
+    windows = packed.where("not copy").join(asked, "did").select("did", "tag", "packed", "keys").mapInArrow(lambda it: _window_rows(it, window), WINDOW_ROW)
     first = F.min("did").over(Window.partitionBy("h1", "h2"))
-    later = windows.where("not known").withColumn("first", first).where("did > first")
-    gone = later.select("did", "tag", "pos").unionByName(windows.where("known").select("did", "tag", "pos"))
-    spots = gone.groupBy("did").agg(F.collect_list(F.struct("tag", "pos")).alias("gone"))
-    return packed.join(spots, "did", "left").select("doc_id", "tag", "packed", "copy", "gone").mapInArrow(lambda it: _removed(it, window), OUT_ROW)
+    later = windows.where("not known").drop("known").withColumn("first", first).where("did > first")
+    gone = later.select("did", "spot").unionByName(windows.where("known").select("did", "spot"))
+    spots = gone.groupBy("did").agg(F.collect_list("spot").alias("gone"))
+    return packed.join(spots, "did", "left").mapInArrow(lambda it: _removed(it, window), OUT_ROW)
 
 
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
