@@ -26,7 +26,7 @@ BLOCK = 1 << 16
 #: Slots of one hyperperiod: weights are rounded to multiples of 1 / PERIOD.
 PERIOD = 1000
 #: Rows that a piece of a source holds about.
-PIECE = 1 << 15
+PIECE = 1 << 12
 #: Default target: a source's share of all characters to this power.
 TEMPERATURE = 0.5
 
