@@ -13,6 +13,7 @@ MODULES = [
     "licenses",
     "html_text",
     "quality_model",
+    "jaccard_join",
 ]
 
 QUERIES: dict = {}
