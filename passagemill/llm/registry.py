@@ -14,6 +14,7 @@ MODULES = [
     "html_text",
     "quality_model",
     "jaccard_join",
+    "decontaminate",
 ]
 
 QUERIES: dict = {}
