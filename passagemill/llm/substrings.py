@@ -34,7 +34,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .common import table
-from .tokens import U, Words, grams, mix, slices
+from .tokens import U, Words, grams, mix, slices, small
 
 WINDOW = 13
 #: Stands for a null doc_id: after all others.
@@ -114,7 +114,7 @@ ANCHOR_ROW = "key long, did long, known boolean"
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """Each document's anchor keys: ``known`` where the batch shows a second document."""
-    for batch in batches:
+    for batch in small(batches, 4096):
         ids, keys, docs = _ids(batch), [np.zeros(0, U)], [np.zeros(0, np.int64)]
         for words in slices(batch.column("text")):
             at, of, key = anchors(words, window)
@@ -145,7 +145,7 @@ PACKED_ROW = "did long, tag int, digest string, packed binary"
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     squeeze = zstandard.ZstdCompressor(level=1)
-    for batch in batches:
+    for batch in small(batches):
         packed = [squeeze.compress((text.as_py() or "").encode()) for text in batch.column("text")]
         yield pa.record_batch([batch.column("did"), batch.column("tag"), batch.column("digest"), pa.array(packed, pa.binary())], names=["did", "tag", "digest", "packed"])
 
@@ -160,7 +160,7 @@ WINDOW_ROW = "h1 long, h2 int, did long, spot long, known boolean"
 
 def _window_rows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """Full names of the windows of candidate anchors; ``known`` where the batch holds an earlier document."""
-    for batch in batches:
+    for batch in small(batches, 2048):
         ids, tags = _ids(batch), batch.column("tag").to_numpy()
         wanted = batch.column("keys")
         parts: list[list[np.ndarray]] = [[] for _ in range(4)]
@@ -197,7 +197,7 @@ OUT_ROW = "doc_id long, n_words long, n_removed long, kept_text string"
 
 def _removed(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     expand = zstandard.ZstdDecompressor()
-    for batch in batches:
+    for batch in small(batches):
         out = []
         for doc, tag, packed, copy, gone in zip(*(batch.column(c) for c in ("did", "tag", "packed", "copy", "gone")), strict=True):
             words = expand.decompress(packed.as_py()).split()
@@ -230,15 +230,11 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("did"), F.coalesce("text", F.lit("")).alias("text"))
     found = docs.select("did", "text").mapInArrow(lambda it: _anchor_rows(it, window), ANCHOR_ROW)
-    by_key = Window.partitionBy("key")
-    met = (
-        found.where("not known").select("key", "did")
-        .withColumns({"lo": F.min("did").over(by_key), "hi": F.max("did").over(by_key)})
-        .where("lo < hi")
-        .select("did", "key")
-    )
-    # A document's keys are at most its words.
-    asked = met.unionByName(found.where("known").select("did", "key")).groupBy("did").agg(F.collect_set("key").alias("keys"))
+    # Rows that need no answer are spread by document instead of meeting under their key.
+    spread = F.when(F.col("known"), F.col("did")).otherwise(F.lit(-1)).alias("spread")
+    by_key = Window.partitionBy("key", "spread")
+    met = found.select("key", spread, "did", "known").withColumns({"lo": F.min("did").over(by_key), "hi": F.max("did").over(by_key)}).where("known or lo < hi")
+    asked = met.groupBy("did").agg(F.collect_set("key").alias("keys"))  # at most a document's words
 
     # Whole copies need no windows: the first document of a class speaks for it.
     named = docs.select("did", F.hash("text").alias("tag"), F.md5(F.col("text").cast("binary")).alias("digest"), "text")
@@ -246,14 +242,14 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     firsts = classes.groupBy("digest").agg(F.min("did").alias("first"))
     copies = classes.join(firsts, "digest").where("did > first").groupBy("did").agg(F.collect_set("digest").alias("copied"))
     # Everything by document joins on it alone, so the texts go through one exchange, used twice.
-    packed = named.mapInArrow(_pack, PACKED_ROW).join(copies, "did", "left")
+    # (The filter drops nothing; an inner join adds it, and only equal exchanges are shared.)
+    packed = named.mapInArrow(_pack, PACKED_ROW).where("did is not null").join(copies, "did", "left")
     copy = F.coalesce(F.array_contains("copied", F.col("digest")), F.lit(False))
     packed = packed.select("did", "tag", "packed", copy.alias("copy"))
 
     windows = packed.where("not copy").join(asked, "did").select("did", "tag", "packed", "keys").mapInArrow(lambda it: _window_rows(it, window), WINDOW_ROW)
-    first = F.min("did").over(Window.partitionBy("h1", "h2"))
-    later = windows.where("not known").drop("known").withColumn("first", first).where("did > first")
-    gone = later.select("did", "spot").unionByName(windows.where("known").select("did", "spot"))
+    first = F.min("did").over(Window.partitionBy("h1", "h2", "spread"))
+    gone = windows.select("h1", "h2", spread, "did", "spot", "known").withColumn("first", first).where("known or did > first")
     spots = gone.groupBy("did").agg(F.collect_list("spot").alias("gone"))
     return packed.join(spots, "did", "left").mapInArrow(lambda it: _removed(it, window), OUT_ROW)
 

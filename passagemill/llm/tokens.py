@@ -28,10 +28,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-@lru_cache(maxsize=2)
-def _byte_codes(lower: bool) -> np.ndarray:
+def _gaps(marks: bool) -> np.ndarray:
+    """Which bytes part words: ASCII white space, and with ``marks`` all of ASCII but letters and digits."""
+    gaps = np.zeros(256, bool)
+    if marks:
+        gaps[:128] = [not chr(c).isalnum() for c in range(128)]
+    gaps[[9, 10, 11, 12, 13, 32]] = True
+    return gaps
+
+
+_GAPS = {marks: _gaps(marks) for marks in (False, True)}
+
+
+@lru_cache(maxsize=4)
+def _byte_codes(lower: bool, marks: bool) -> np.ndarray:
     codes = mix(np.arange(1, 257, dtype=U) * U(0xD6E8FEB86659FD93))
-    codes[[9, 10, 11, 12, 13, 32]] = 0
+    codes[_GAPS[marks]] = 0
     if lower:
         codes[65:91] = codes[97:123]
     return codes
@@ -44,10 +56,6 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-
-
 class Words:
     """The words of a slice of documents.
 
@@ -55,9 +63,9 @@ class Words:
     and the end. ``starts``: byte position of each word in ``data``; ``rows``: the slice's rows.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, rows: slice, lower: bool):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, rows: slice, lower: bool, marks: bool = False):
         self.data, self.offsets, self.rows = data, offsets, rows
-        solid = ~_SPACE[data]
+        solid = ~_GAPS[marks][data]
         first = solid.copy()
         first[1:] &= ~solid[:-1]
         inner = offsets[1:-1]
@@ -69,7 +77,7 @@ class Words:
             self.hash = np.zeros(0, U)
             return
         up, down = _powers(max(SLICE, 1 << (len(data) - 1).bit_length()))
-        codes = _byte_codes(lower)[data]
+        codes = _byte_codes(lower, marks)[data]
         codes *= up[: len(data)]
         self.hash = mix(np.add.reduceat(codes, self.starts) * down[self.starts])
 
@@ -78,7 +86,7 @@ class Words:
         return np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))
 
 
-def slices(texts: pa.Array, lower: bool = False) -> Iterator[Words]:
+def slices(texts: pa.Array, lower: bool = False, marks: bool = False, size: int = SLICE) -> Iterator[Words]:
     """The slices of a column of texts, in order; null is empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
@@ -91,13 +99,20 @@ def slices(texts: pa.Array, lower: bool = False) -> Iterator[Words]:
     data = np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)
     at = 0
     while at < n:
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE, "right")) - 1)
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
         to = min(to, n)
         own = offsets[at : to + 1]
-        yield Words(data[own[0] : own[-1]], own - own[0], slice(at, to), lower)
+        yield Words(data[own[0] : own[-1]], own - own[0], slice(at, to), lower, marks)
         at = to
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most so many, which bounds what a worker holds."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+
+
 def grams(h: np.ndarray, bounds: np.ndarray, n: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of ``n`` words that lie in one document, and the word each starts at."""
     if len(h) < n:
