@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import materialise, table, unused
 from .tokens import U, Words, grams, mix, slices
 
 SHINGLE = 5
@@ -316,12 +316,12 @@ def keep_firsts(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     Of several rows with one doc_id, one stays; rows without a doc_id all stay. All columns are
     kept. The texts go through one exchange.
     """
-    names = docs.columns
+    rank = unused(docs, "rank")
     classes = jaccard_classes(docs.select("doc_id", "text"), size, percent)
     dropped = classes.where("doc_id <> component_id").select("doc_id").distinct()
     kept = docs.join(dropped, "doc_id", "left_anti")
     turn = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.md5(F.col("text").cast("binary"))))
-    return kept.select(*names, turn.alias("_turn")).where("_turn = 1 or doc_id is null").select(*names)
+    return kept.withColumn(rank, turn).where((F.col(rank) == 1) | F.col("doc_id").isNull()).drop(rank)
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, table
+from .common import let, table, unused
 
 SPAN = "array<struct<kind:string,start:int,end:int,score:double>>"
 #: Characters before and after a span in which context words count.
@@ -150,51 +150,50 @@ def _spans(text: Column, kind: Kind) -> Column:
     return F.when(_needs(text, kind.need), spans).otherwise(empty)
 
 
-def find_pii(docs: DataFrame) -> DataFrame:
-    """``docs`` with a column ``pii_base`` (the contract's kinds) and ``pii_added`` (the method's).
+def base_spans(text: Column) -> Column:
+    """The contract's kinds: an array of (kind, start, end, score), by kind as listed, then start.
 
-    Both are arrays of (kind, start, end, score), by kind and start, in code points, end
-    exclusive. Null and empty texts have none. A column of either name is replaced; other columns,
-    repeated rows and ties are kept as they are.
+    In code points, end exclusive; null and empty texts have none.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.withColumns(
-        {
-            "pii_base": F.concat(*[_spans(text, k) for k in BASE]),
-            "pii_added": F.concat(*[_spans(text, k) for k in ADDED]),
-        }
-    )
+    return F.concat(*[_spans(F.coalesce(text, F.lit("")), k) for k in BASE])
+
+
+def added_spans(text: Column) -> Column:
+    """What the method adds, in the same form."""
+    return F.concat(*[_spans(F.coalesce(text, F.lit("")), k) for k in ADDED])
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span of its text replaced by its kind, as in ``[email]``.
 
     Where spans overlap, the earliest (of those, the longest) stands for the rest, and what
-    sticks out of it goes as well. A null text stays null; other columns are kept.
+    sticks out of it goes as well. A null text stays null. An ``n_chars`` column follows the new
+    text; other columns and repeated rows are kept.
     """
-    found = find_pii(docs)
-    spans = F.array_sort(
-        F.transform(
-            F.concat("pii_base", "pii_added"),
-            lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("until"), s["kind"].alias("kind")),
-        )
-    )
+    spans = unused(docs, "spans")
+    found = docs.withColumn(spans, F.concat(base_spans(F.col("text")), added_spans(F.col("text"))))
+    ordered = F.array_sort(
+        F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("until"), s["kind"].alias("kind")))
+    )
 
     def step(acc, s):
         start, end = s["start"], -s["until"]
-        fresh = start >= acc["pos"]
         piece = F.when(
-            fresh,
+            start >= acc["pos"],
             F.concat(acc["out"], F.array(F.substr("text", acc["pos"] + 1, start - acc["pos"]), F.concat(F.lit("["), s["kind"], F.lit("]")))),
         ).otherwise(acc["out"])
         return F.struct(F.greatest(acc["pos"], end).alias("pos"), piece.alias("out"))
 
     zero = F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("out"))
     clean = F.aggregate(
-        spans, zero, step,
+        ordered, zero, step,
         lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr("text", acc["pos"] + 1, F.length("text"))),
     )
-    return found.withColumn("text", F.when(F.size("pii_base") + F.size("pii_added") > 0, clean).otherwise(F.col("text"))).select(*docs.columns)
+    touched = F.size(spans) > 0
+    out = found.withColumn("text", F.when(touched, clean).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(touched, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.drop(spans)
 
 
 def _joined(spans: Column) -> Column:
@@ -202,20 +201,24 @@ def _joined(spans: Column) -> Column:
 
 
 def _count(name: str) -> Column:
-    return F.size(F.filter("pii_base", lambda s: s["kind"] == name)).cast("long")
+    return F.size(F.filter("base", lambda s: s["kind"] == name)).cast("long")
+
+
+def pii_digest(docs: DataFrame) -> DataFrame:
+    """Per row of ``docs(doc_id, text)``: counts, digest and all spans; other columns are ignored."""
+    found = docs.select("doc_id", base_spans(F.col("text")).alias("base"), added_spans(F.col("text")).alias("added"))
+    return found.select(
+        "doc_id", *[_count(k.name).alias(f"n_{k.name}") for k in BASE],
+        F.sha2(_joined(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        _joined(F.concat("base", "added")).alias("spans"),
+        F.size("added").cast("long").alias("n_added"),
+        F.round(F.aggregate(F.concat("base", "added"), F.lit(0.0), lambda a, s: F.greatest(a, s["score"])), 6).alias("top_score"),
+    )
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The contract's digest of :func:`find_pii` over the whole of ``documents``."""
-    docs = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    counts = [_count(k.name).alias(f"n_{k.name}") for k in BASE]
-    return docs.select(
-        "doc_id", *counts,
-        F.sha2(_joined(F.col("pii_base")).cast("binary"), 256).alias("base_sha256"),
-        _joined(F.concat("pii_base", "pii_added")).alias("spans"),
-        F.size("pii_added").cast("long").alias("n_added"),
-        F.round(F.aggregate(F.concat("pii_base", "pii_added"), F.lit(0.0), lambda a, s: F.greatest(a, s["score"])), 6).alias("top_score"),
-    )
+    """The contract's digest over the whole of ``documents``."""
+    return pii_digest(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {"op10_pii": op10_pii}

@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, materialise, strip_chars, SPACES, table, words_of
+from .common import SPACES, let, materialise, strip_chars, table, unused, words_of
 
 SYMBOLS = "#*$%&|<>"
 #: Frequent function words of English, German, French and Spanish.
@@ -168,11 +168,10 @@ def keep_good(docs: DataFrame) -> DataFrame:
 
     The measures are computed again rather than joined back, so the texts are never shuffled.
     """
-    names = docs.columns
-    coded = docs.select(*[F.col(c) for c in names], measures(F.col("text")).alias("_m"))
+    m = unused(docs, "measures")
     learned = posteriors(docs.select(pattern(measures(F.col("text"))).alias("pattern")))
     good = [r["pattern"] for r in learned.where("p_good >= 0.5").collect()]
-    return coded.where(~base_failed(F.col("_m")) & pattern(F.col("_m")).isin(good)).select(*names)
+    return docs.withColumn(m, measures(F.col("text"))).where(~base_failed(F.col(m)) & pattern(F.col(m)).isin(good)).drop(m)
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
