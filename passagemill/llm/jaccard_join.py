@@ -251,14 +251,15 @@ def components(links: DataFrame) -> DataFrame:
     labels = both.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("comp"))
     while True:
         labels = materialise(labels, "labels")
-        here, there = labels, labels.withColumnsRenamed({"node": "other", "comp": "beyond"})
-        crossing = both.join(here, "node").join(there, "other").where("comp > beyond")
+        there = labels.select(F.col("node").alias("other"), F.col("comp").alias("beyond"))
+        crossing = both.join(labels, "node").join(there, "other").where("comp > beyond")
         moves = crossing.groupBy("comp").agg(F.min("beyond").alias("to"))
         # A component that moves takes its members along; two hops at a time.
         moves = materialise(moves, "moves")
         if moves.isEmpty():
             return labels
-        hops = moves.join(moves.withColumnsRenamed({"comp": "to", "to": "on"}), "to", "left").select("comp", F.coalesce("on", "to").alias("to"))
+        onward = moves.select(F.col("comp").alias("to"), F.col("to").alias("on"))
+        hops = moves.join(onward, "to", "left").select("comp", F.coalesce("on", "to").alias("to"))
         labels = labels.join(hops, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
 
 
