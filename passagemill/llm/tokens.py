@@ -6,6 +6,8 @@ not follow the batch size; a single longer text is a slice of its own.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -14,7 +16,7 @@ import pyarrow as pa
 
 U = np.uint64
 #: Bytes of text in one slice.
-SLICE = 2 << 20
+SLICE = 1 << 19
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 
@@ -107,10 +109,17 @@ def slices(texts: pa.Array, lower: bool = False, marks: bool = False, size: int
 
 
 def small(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most so many, which bounds what a worker holds."""
+    """The same rows in batches of at most so many, which bounds what a worker holds.
+
+    At the end it gives back what is free: workers live on between stages, one beside the other.
+    """
     for batch in batches:
         for at in range(0, len(batch), rows):
             yield batch.slice(at, rows)
+    batch = None
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # only some C libraries have it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def grams(h: np.ndarray, bounds: np.ndarray, n: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
