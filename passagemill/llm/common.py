@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,6 +57,15 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def hold(df: DataFrame) -> DataFrame:
+    """``df``, computed once and kept on the executors, in memory or on disk.
+
+    What a lost executor held is computed again from the input; nothing else depends on it. For
+    tables that one operator reads several times; loops cut their lineage by :func:`materialise`.
+    """
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 

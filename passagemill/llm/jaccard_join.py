@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .common import materialise, table, unused
-from .tokens import U, Words, grams, mix, slices
+from .common import hold, materialise, table, unused
+from .tokens import U, Words, grams, mix, slices, small
 
 SHINGLE = 5
 #: The least similarity, in hundredths.
@@ -40,6 +40,8 @@ EARLY = 4
 CROWD = 2048
 #: Sets below a lowest node.
 LEAF = 16
+#: Rows of links or labels in one written file.
+FILE_ROWS = 500_000
 LAST = (1 << 63) - 1
 
 _RNG = np.random.default_rng(97)
@@ -74,7 +76,7 @@ SKETCH_ROW = "did long, n long, s1 long, s2 long, bands array<long>"
 
 
 def _sketch_rows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches, 4096):
         ids = batch.column("did").to_numpy()
         for words in slices(batch.column("text"), lower=True):
             h, bounds = shingle_sets(words, size)
@@ -199,7 +201,7 @@ def _tree_links(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> I
     def out(links: list[tuple[int, int]]) -> pa.RecordBatch:
         return pa.record_batch([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"])
 
-    for batch in batches:
+    for batch in small(batches):
         links = []
         for key, part, did, label, packed in zip(*(batch.column(c).to_pylist() for c in ("key", "part", "did", "label", "packed")), strict=True):
             if (key, part) != current:
@@ -212,7 +214,7 @@ def _tree_links(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> I
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     squeeze = zstandard.ZstdCompressor(level=1)
-    for batch in batches:
+    for batch in small(batches):
         packed = [squeeze.compress((text.as_py() or "").encode()) for text in batch.column("text")]
         yield pa.record_batch([batch.column("did"), pa.array(packed, pa.binary())], names=["did", "packed"])
 
@@ -243,19 +245,19 @@ def _links(members: DataFrame, pool: DataFrame, size: int, percent: int, whole:
 def components(links: DataFrame) -> DataFrame:
     """``(node, comp)``: the least node that each node of ``links(a, b)`` is connected to.
 
-    Every round each component joins its least neighbour; links inside a component go. The
-    tables of a round are written, so a lost executor costs a re-read.
+    Every round each component joins its least neighbour, two hops at a time, until no link
+    crosses. A round's tables are written, in as many files as they need, which cuts the lineage.
     """
     both = links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other")))
-    both = materialise(both.distinct(), "links")
+    both = hold(both.distinct())
+    files = 1 + both.count() // FILE_ROWS
+    both = materialise(both.coalesce(files), "links")
     labels = both.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("comp"))
     while True:
-        labels = materialise(labels, "labels")
+        labels = materialise(labels.coalesce(files), "labels")
         there = labels.select(F.col("node").alias("other"), F.col("comp").alias("beyond"))
         crossing = both.join(labels, "node").join(there, "other").where("comp > beyond")
-        moves = crossing.groupBy("comp").agg(F.min("beyond").alias("to"))
-        # A component that moves takes its members along; two hops at a time.
-        moves = materialise(moves, "moves")
+        moves = materialise(crossing.groupBy("comp").agg(F.min("beyond").alias("to")).coalesce(files), "moves")
         if moves.isEmpty():
             return labels
         onward = moves.select(F.col("comp").alias("to"), F.col("to").alias("on"))
@@ -273,8 +275,8 @@ def jaccard_classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     an empty table gives an empty one.
     """
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("did"), "text")
-    sketch = materialise(docs.mapInArrow(lambda it: _sketch_rows(it, size), SKETCH_ROW), "sketch")
-    classes = materialise(sketch.where("n > 0").groupBy("s1", "s2").agg(F.min("did").alias("rep"), F.first("bands").alias("bands")), "classes")
+    sketch = hold(docs.mapInArrow(lambda it: _sketch_rows(it, size), SKETCH_ROW))
+    classes = hold(sketch.where("n > 0").groupBy("s1", "s2").agg(F.min("did").alias("rep"), F.first("bands").alias("bands")))
 
     by_key = Window.partitionBy("key")
     dealt = classes.select(F.col("rep").alias("did"), F.posexplode("bands").alias("band", "key"))
@@ -284,16 +286,18 @@ def jaccard_classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
         .where("lo < hi")
         .select("key", "did", "early", "crowd")
     )
-    members = materialise(members, "members")
+    members = hold(members)
     needed = members.select("did").distinct()
-    pool = materialise(docs.mapInArrow(_pack, "did long, packed binary").join(needed, "did", "left_semi"), "pool")
+    pool = hold(docs.mapInArrow(_pack, "did long, packed binary").join(needed, "did", "left_semi"))
 
     # Rows of one doc_id in several classes tie those together.
     held = sketch.where("n > 0").join(classes.select("s1", "s2", "rep"), ["s1", "s2"]).select("did", "n", "s1", "s2", "rep")
     least = held.groupBy("did").agg(F.min("rep").alias("a"), F.max("rep").alias("top")).where("a < top")
     ties = held.join(least, "did").where("rep > a").select("a", F.col("rep").alias("b")).distinct()
 
-    first = materialise(_links(members.where("early").withColumn("label", F.col("did")), pool, size, percent, whole=False).unionByName(ties), "first")
+    files = 1 + members.count() // FILE_ROWS
+    first = _links(members.where("early").withColumn("label", F.col("did")), pool, size, percent, whole=False).unionByName(ties)
+    first = materialise(first.repartition(files), "first")
     labels = components(first)
     known = members.join(labels.withColumnRenamed("node", "did"), "did", "left").withColumn("label", F.coalesce("comp", "did"))
     open_ = (
@@ -302,7 +306,7 @@ def jaccard_classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
         .select("key", "did", "label", "crowd")
     )
     second = _links(open_, pool, size, percent, whole=True)
-    final = components(materialise(first.unionByName(second), "all")).withColumnRenamed("node", "rep")
+    final = components(first.unionByName(second)).withColumnRenamed("node", "rep")
 
     reps = sketch.join(classes.select("s1", "s2", "rep"), ["s1", "s2"], "left").select("did", "n", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("did")).alias("rep"))
     null = lambda c: F.nullif(c, F.lit(LAST))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .common import let, materialise, table
+from .common import hold, let, table
 
 #: Characters in a block.
 BLOCK = 1 << 16
@@ -102,7 +102,7 @@ def mix_sources(docs: DataFrame, targets: DataFrame | None = None, block: int =
     characters to the power TEMPERATURE.
     """
     rows = docs.select("doc_id", "source", F.coalesce("source", F.lit("")).alias("src"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"))
-    rows = materialise(rows, "mix")  # narrow: read three times below
+    rows = hold(rows)  # narrow: read three times below
     pieces = max(1, -(-rows.count() // PIECE))
     rows = rows.withColumn("piece", F.pmod(F.xxhash64("doc_id"), F.lit(pieces)))
     sizes = rows.groupBy("src", "piece").agg(F.sum("n_chars").alias("chars"))

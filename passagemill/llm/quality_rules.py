@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, let, materialise, strip_chars, table, unused, words_of
+from .common import SPACES, hold, let, strip_chars, table, unused, words_of
 
 SYMBOLS = "#*$%&|<>"
 #: Frequent function words of English, German, French and Spanish.
@@ -155,7 +155,7 @@ def judge(docs: DataFrame) -> DataFrame:
     A null or blank text has no words and fails the base. Repeated rows are judged one by one;
     other columns of ``docs`` are ignored; an empty table gives an empty one.
     """
-    m = materialise(docs.select("doc_id", measures(F.col("text")).alias("m")).withColumn("pattern", pattern(F.col("m"))), "rules")
+    m = hold(docs.select("doc_id", measures(F.col("text")).alias("m")).withColumn("pattern", pattern(F.col("m"))))
     verdict = m.join(F.broadcast(posteriors(m)), "pattern", "left")
     failed = base_failed(F.col("m"))
     return verdict.select(
