@@ -248,8 +248,8 @@ def components(links: DataFrame) -> DataFrame:
     Every round each component joins its least neighbour, two hops at a time, until no link
     crosses. A round's tables are written, in as many files as they need, which cuts the lineage.
     """
-    both = links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other")))
-    both = hold(both.distinct())
+    way = lambda x, y: F.struct(F.col(x).alias("node"), F.col(y).alias("other"))
+    both = hold(links.select(F.inline(F.array(way("a", "b"), way("b", "a")))).distinct())
     files = 1 + both.count() // FILE_ROWS
     both = materialise(both.coalesce(files), "links")
     labels = both.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("comp"))
