@@ -19,7 +19,6 @@ FAILED_REASON = "LLM validation failed, defaulting to KEEP"
 FAILED_CONFIDENCE = 0.5
 
 
-@F.pandas_udf("array<double>")
 def _lexical(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     def of(texts: list[str]) -> list[float]:
         counts = [Counter(t.lower().split()) for t in texts]
@@ -35,6 +34,9 @@ def _lexical(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield texts.map(lambda ts: [] if ts is None else of(list(ts)))
 
 
+_lexical.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+
+
 def adjacent_lexical(texts: Column) -> Column:
     """Cosine of the word counts of each text of an array with the next; 0 where either has no words.
 
@@ -42,7 +44,7 @@ def adjacent_lexical(texts: Column) -> Column:
     nondeterministic, as all Python functions here: that keeps Catalyst from moving the call into
     the body of a higher-order function, where it can't run.
     """
-    return _lexical.asNondeterministic()(texts)
+    return F.pandas_udf(_lexical, "array<double>").asNondeterministic()(texts)
 
 
 def splittable_texts(paragraphs: Column) -> Column:
