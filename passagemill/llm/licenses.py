@@ -2,7 +2,7 @@
 
 Every line, paragraph and whole text is a unit. A unit is normalised to lower-case words; its
 set of word bigrams is compared with each template whose size can reach the threshold:
-Dice >= t needs min(a, b) / max(a, b) >= t / (2 - t). All of it is row-local.
+Dice >= t needs (2 - t) * min(a, b) >= t * max(a, b). All of it is row-local.
 """
 
 from __future__ import annotations
@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from .common import let, table
 
-THRESHOLD = 0.8
+#: Least Dice coefficient, in hundredths: comparisons are of whole numbers.
+PERCENT = 80
 
 # Short notices as they stand in files, and the bodies of the brief licences.
 _MIT = (
@@ -88,7 +89,7 @@ def _grams(words: Column) -> Column:
     return F.when(F.size(words) >= 2, F.array_distinct(pairs)).otherwise(F.array().cast("array<string>"))
 
 
-def scan_licenses(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def scan_licenses(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """What licence notices the rows of ``docs(doc_id, text)`` carry: one row per unit that matches.
 
     Returns doc_id, unit ("line", "paragraph" of several lines, or "text" of several paragraphs),
@@ -97,8 +98,8 @@ def scan_licenses(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     each by themselves; other columns are ignored.
     """
     sizes = [len(_template_bigrams(text)) for _, text in TEMPLATES]
-    ratio = threshold / (2 - threshold)
-    low, high = min(sizes) * ratio, max(sizes) / ratio
+    low = -(-min(sizes) * percent // (200 - percent))
+    high = max(sizes) * (200 - percent) // percent
     text = F.coalesce("text", F.lit(""))
 
     def unit(kind: str, parts: Column, keep) -> Column:
@@ -114,11 +115,13 @@ def scan_licenses(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     def best(grams: Column) -> Column:
         def able(t: Column) -> Column:
-            return F.least(F.size(grams), F.size(t["grams"])) >= ratio * F.greatest(F.size(grams), F.size(t["grams"]))
+            a, b = F.size(grams), F.size(t["grams"])
+            return F.least(a, b) * (200 - percent) >= F.greatest(a, b) * percent
 
         def dice(t: Column) -> Column:
-            shared = F.size(F.array_intersect(grams, t["grams"]))
-            return F.struct((-2.0 * shared / (F.size(grams) + F.size(t["grams"]))).alias("less"), t["template"].alias("template"), t["name"].alias("name"))
+            shared, both = F.size(F.array_intersect(grams, t["grams"])), F.size(grams) + F.size(t["grams"])
+            enough = shared * 200 >= both * percent
+            return F.struct((-2.0 * shared / both).alias("less"), t["template"].alias("template"), t["name"].alias("name"), enough.alias("enough"))
 
         return F.array_min(F.transform(F.filter(_literal(), able), dice))
 
@@ -127,7 +130,7 @@ def scan_licenses(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         return F.when(F.size(words) - 1 >= low, let(_grams(words), lambda g: F.when(F.size(g).between(F.lit(low), F.lit(high)), best(g))))
 
     found = units.select("doc_id", "unit", "unit_no", let(_normalised(F.col("body")), sized).alias("b"))
-    return found.where(F.col("b.less") <= -threshold).select(
+    return found.where("b.enough").select(
         "doc_id", "unit", F.col("unit_no").cast("long").alias("unit_no"), F.col("b.name").alias("license"), F.round(-F.col("b.less"), 6).alias("dice")
     )
 
@@ -158,11 +161,11 @@ g AS (
   FROM w WHERE len(ws) >= 2),
 d AS (
   SELECT g.doc_id, g.unit, g.unit_no, t.template, t.name,
-         2.0 * len(list_intersect(g.grams, t.grams)) / (len(g.grams) + len(t.grams)) AS dice
-  FROM g JOIN t ON least(len(g.grams), len(t.grams)) >= {THRESHOLD / (2 - THRESHOLD)} * greatest(len(g.grams), len(t.grams))),
+         len(list_intersect(g.grams, t.grams)) AS i, len(g.grams) + len(t.grams) AS n, 2.0::DOUBLE * i / n AS dice
+  FROM g JOIN t ON least(len(g.grams), len(t.grams)) * {200 - PERCENT} >= greatest(len(g.grams), len(t.grams)) * {PERCENT}),
 b AS (
   SELECT *, row_number() OVER (PARTITION BY doc_id, unit, unit_no ORDER BY dice DESC, template) AS r FROM d)
-SELECT doc_id, unit, unit_no::BIGINT AS unit_no, name AS license, round(dice, 6)::DOUBLE AS dice FROM b WHERE r = 1 AND dice >= {THRESHOLD}
+SELECT doc_id, unit, unit_no::BIGINT AS unit_no, name AS license, round(dice, 6)::DOUBLE AS dice FROM b WHERE r = 1 AND i * 200 >= n * {PERCENT}
 """
 
 
