@@ -242,10 +242,10 @@ def labelled_pages(pages: int, seed: int) -> list[str]:
     out = []
     for _ in range(pages):
         head = f"<h1 data-y>{words(1, 9)}</h1>" if rng.random() < 0.9 else ""
-        inner = head
-        brief = rng.random() < 0.25  # a title and a line or two
+        brief = rng.random() < 0.3  # a line or two, and perhaps a title
+        inner = head = "" if brief and rng.random() < 0.4 else head
         for _ in range(rng.randint(1, 2) if brief else rng.randint(0 if head else 1, 14)):
-            inner += f"<p data-y>{words(1, 8)}</p>" if brief else body_block()
+            inner += f"<p data-y>{words(1, 6)}</p>" if brief else body_block()
             if rng.random() < 0.06:
                 inner += clutter()
         late = comments() if rng.random() < 0.3 else ""
@@ -269,7 +269,7 @@ def labelled_pages(pages: int, seed: int) -> list[str]:
     return out
 
 
-def train(pages: int = 240, seed: int = 11, epochs: int = 300, rate: float = 0.08, weight: float = 2e-4) -> tuple[np.ndarray, np.ndarray]:
+def train(pages: int = 320, seed: int = 11, epochs: int = 300, rate: float = 0.08, weight: float = 2e-4) -> tuple[np.ndarray, np.ndarray]:
     """Node and edge potentials that make the labelled pages most likely (Adam, light decay)."""
     trees = [Tree(p) for p in labelled_pages(pages, seed)]
     forest = Forest(trees)
