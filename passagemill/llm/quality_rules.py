@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, hold, let, strip_chars, table, unused, words_of
+from .common import SPACES, hold, let, strip_chars, table, words_of
 
 SYMBOLS = "#*$%&|<>"
 #: Frequent function words of English, German, French and Spanish.
@@ -99,6 +99,11 @@ def pattern(m: Column) -> Column:
     return out
 
 
+def pattern_of(text: Column) -> Column:
+    """The votes on a text, from measures that are computed once."""
+    return let(measures(text), pattern)
+
+
 def unpack(code: int, rules: int) -> list[int]:
     out = []
     for _ in range(rules):
@@ -168,10 +173,9 @@ def keep_good(docs: DataFrame) -> DataFrame:
 
     The measures are computed again rather than joined back, so the texts are never shuffled.
     """
-    m = unused(docs, "measures")
-    learned = posteriors(docs.select(pattern(measures(F.col("text"))).alias("pattern")))
+    learned = posteriors(docs.select(pattern_of(F.col("text")).alias("pattern")))
     good = [r["pattern"] for r in learned.where("p_good >= 0.5").collect()]
-    return docs.withColumn(m, measures(F.col("text"))).where(~base_failed(F.col(m)) & pattern(F.col(m)).isin(good)).drop(m)
+    return docs.where(let(measures(F.col("text")), lambda m: ~base_failed(m) & pattern(m).isin(good)))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
