@@ -2,9 +2,11 @@
 
 import asyncio
 import json
+import sys
 
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from passagemill import cli
@@ -19,6 +21,7 @@ from passagemill.sinks import export_markdown, metadata_from_json, write_calls,
 from passagemill.sources.registry import from_texts
 from passagemill.streaming.files import chunk_stream
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers don't have the tests
 LONG = "Cats purr a lot. Cats sleep. Cats eat. Cats play. Stocks fall today! Stocks rise. Bonds pay? Bonds wait. Rain falls. Snow falls. Wind blows. Sun shines."
 
 
