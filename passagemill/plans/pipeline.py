@@ -5,13 +5,15 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config
 from ..errors import ConfigError
-from ..providers import ChatModel, Embedder, HttpChatModel
+from ..functions import prompts
+from ..providers import ChatModel, Embedder, HttpChatModel, TokenCounter
 from ..session import ship
 from ..sinks import write_markdown
 from ..sources import registry as sources
@@ -50,15 +52,16 @@ class Result:
 
     @property
     def calls(self) -> DataFrame:
-        """A row per call of a language model."""
-        kinds = [c for c in ("plan_replies", "check_replies", "enrich_replies") if c in self.documents.columns]
-        if not kinds:
-            return self.documents.select("doc_id", F.lit("").alias("kind"), F.inline(F.array().cast("array<struct<content:string,tokens_used:int,success:boolean,error:string>>")))
-        parts = [self.documents.select("doc_id", F.lit(k.removesuffix("_replies")).alias("kind"), F.inline(k)) for k in kinds]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
+        """A row per call of a language model, with its prompts."""
+        systems = {"plan": prompts.PLAN_SYSTEM, "check": prompts.CHECK_SYSTEM, "enrich": prompts.ENRICH_SYSTEM}
+        parts = [
+            self.documents.select("doc_id", F.lit(kind).alias("kind"), F.inline(F.arrays_zip(F.col(f"{kind}_replies_of").alias("prompt"), F.col(f"{kind}_replies").alias("r"))))
+            .select("doc_id", "kind", "prompt", F.lit(system).alias("system_prompt"), "r.*")
+            for kind, system in systems.items()
+            if f"{kind}_replies" in self.documents.columns
+        ]
+        none = "doc_id string, kind string, prompt string, system_prompt string, content string, tokens_used int, success boolean, error string"
+        return reduce(DataFrame.unionByName, parts) if parts else self.documents.sparkSession.createDataFrame([], none)
 
     def chunk_count(self) -> int:
         return self.documents.agg(F.coalesce(F.sum(F.size("chunks")), F.lit(0))).first()[0]
@@ -126,9 +129,9 @@ class Chunker:
     should write a table and read it back when a model is used, so that it is asked once.
     """
 
-    def __init__(self, spark: SparkSession, config: Config | None = None, model: ChatModel | None = None, embedder: Embedder | None = None, keep: Callable[[DataFrame, str], DataFrame] | None = None):
+    def __init__(self, spark: SparkSession, config: Config | None = None, model: ChatModel | None = None, embedder: Embedder | None = None, keep: Callable[[DataFrame, str], DataFrame] | None = None, counter: TokenCounter | None = None):
         self.spark, self.config = ship(spark), config or Config()
-        self.model, self.embedder = model, embedder
+        self.model, self.embedder, self.counter = model, embedder, counter
         self.keep = keep or (lambda df, name: df)
 
     @classmethod
@@ -146,7 +149,7 @@ class Chunker:
         return Builder(spark)
 
     def _context(self, dry_run: bool) -> Context:
-        return Context(self.config, self.model, self.embedder, dry_run, self.keep)
+        return Context(self.config, self.model, self.embedder, self.counter, dry_run, self.keep)
 
     def run(self, documents: DataFrame, dry_run: bool = False, progress: Progress | None = None) -> Result:
         return Pipeline(self._context(dry_run)).run(documents, progress)
@@ -184,6 +187,10 @@ class Builder:
         self._parts["embedder"] = embedder
         return self
 
+    def counter(self, counter: TokenCounter) -> Builder:
+        self._parts["counter"] = counter
+        return self
+
     def keep(self, keep: Callable[[DataFrame, str], DataFrame]) -> Builder:
         self._parts["keep"] = keep
         return self

@@ -19,7 +19,7 @@ from ..functions import prompts, replies
 from ..functions.text import approx_tokens, barrier
 from ..functions.vectors import adjacent_cosines, statistics
 from ..operators import boundaries, chunks, paragraphs, planner
-from ..providers import ChatModel, Embedder, Retry, ask, embed
+from ..providers import ChatModel, Embedder, Retry, TokenCounter, ask, count_tokens, embed
 from ..schema import PARAGRAPHS, SECTIONS
 
 EVENTS = "array<struct<level:string,stage:string,message:string>>"
@@ -33,6 +33,8 @@ class Context:
     model: ChatModel | None = None
     #: None compares word counts, which needs no vectors.
     embedder: Embedder | None = None
+    #: None counts tokens as words times 1.3.
+    counter: TokenCounter | None = None
     dry_run: bool = False
     #: Writes a table and reads it back, so that no model is asked twice; identity by default.
     keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df
@@ -60,8 +62,8 @@ def _add(when: Column, level: str, stage: str, message) -> Column:
 
 
 def _call(df: DataFrame, name: str, argument: Column, function: Callable[[Column], Column]) -> DataFrame:
-    """``df`` with a column that a Python function makes of ``argument``."""
-    return df.withColumn("argument", barrier(argument)).withColumn(name, function(F.col("argument"))).drop("argument")
+    """``df`` with a column that a Python function makes of ``argument``, which is ``<name>_of``."""
+    return df.withColumn(f"{name}_of", barrier(argument)).withColumn(name, function(F.col(f"{name}_of")))
 
 
 class _Base:
@@ -155,10 +157,10 @@ class DetectBoundaries(_Base):
         none = F.array().cast("array<string>")
         texts = F.when(F.col("short"), none).otherwise(boundaries.splittable_texts(F.col("paragraphs")))
         if context.embedder is None:
-            df = _call(df, "similarities", texts, boundaries.adjacent_lexical)
+            df = _call(df, "similarities", texts, boundaries.adjacent_lexical).drop("similarities_of")
         else:
             df = context.keep(_call(df, "vectors", texts, lambda a: embed(context.embedder, a)), "vectors")
-            df = df.withColumn("similarities", adjacent_cosines(F.col("vectors"))).drop("vectors")
+            df = df.withColumn("similarities", adjacent_cosines(F.col("vectors"))).drop("vectors", "vectors_of")
         return df.withColumn("proposals", barrier(boundaries.propose(F.col("paragraphs"), F.col("similarities"), context.config.similarity_threshold)))
 
 
@@ -201,6 +203,14 @@ class Enrich(_Base):
         return context.dry_run
 
     def process(self, df: DataFrame, context: Context) -> DataFrame:
+        df = self._described(df, context)
+        if context.counter is None:
+            return df
+        df = _call(df, "token_counts", F.transform("chunks", lambda c: c["content"]), lambda a: count_tokens(context.counter, a))
+        counted = F.zip_with("chunks", "token_counts", lambda c, n: c.withField("metadata", F.when(c["metadata"].isNotNull(), c["metadata"].withField("token_count", n))))
+        return df.withColumn("chunks", barrier(counted)).drop("token_counts", "token_counts_of")
+
+    def _described(self, df: DataFrame, context: Context) -> DataFrame:
         if context.model is None:
             return df.withColumn("chunks", barrier(chunks.enrich(F.col("chunks"))))
         asked = F.transform("chunks", lambda c: prompts.enrich_prompt(c["content"], c["parent_section"]))

@@ -21,6 +21,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .errors import EmbeddingError, ModelError
+from .functions.text import TOKENS_PER_WORD
 from .schema import REPLIES
 
 
@@ -257,9 +258,18 @@ def ask(model: ChatModel, prompts: Column, system: str = "", retry: Retry | None
     return F.pandas_udf(run, REPLIES).asNondeterministic()(prompts)
 
 
+class TokenCounter(Protocol):
+    """Texts to numbers of tokens."""
+
+    def count(self, text: str) -> int: ...
+
+
 @dataclass
 class BpeCounter:
-    """Tokens by a byte-pair vocabulary file of ranks (base64 token, rank), as tiktoken reads it."""
+    """Tokens by a byte-pair vocabulary file of ranks (base64 token, rank), as tiktoken reads it.
+
+    Where the file or the library is missing, or fails, words times 1.3 stand in.
+    """
 
     path: str
     pattern: str = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -271,23 +281,29 @@ class BpeCounter:
     def count(self, text: str) -> int:
         if not text:
             return 0
-        if self._loaded is None:
-            import base64
+        try:
+            if self._loaded is None:
+                self._loaded = self._load()
+            return len(self._loaded.encode_ordinary(text))
+        except Exception:
+            return int(len(text.split()) * TOKENS_PER_WORD)
+
+    def _load(self):
+        import base64
 
-            import tiktoken
+        import tiktoken
 
-            with open(self.path, "rb") as f:
-                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            self._loaded = tiktoken.Encoding("file", pat_str=self.pattern, mergeable_ranks=ranks, special_tokens={})
-        return len(self._loaded.encode_ordinary(text))
+        with open(self.path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        return tiktoken.Encoding("file", pat_str=self.pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def count_tokens(counter: BpeCounter, texts: Column) -> Column:
-    """Tokens of each text of a column, by a counter that is loaded once per task."""
+def count_tokens(counter: TokenCounter, texts: Column) -> Column:
+    """Tokens of each text of an array, by a counter that is loaded once per task."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for rows in batches:
-            yield rows.map(lambda t: counter.count(t or "")).astype("int32")
+            yield rows.map(lambda ts: [] if ts is None else [counter.count(t or "") for t in ts])
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(run, "int").asNondeterministic()(texts)
+    return F.pandas_udf(run, "array<int>").asNondeterministic()(texts)

@@ -84,7 +84,7 @@ def write_chunks(documents: DataFrame, path: str, form: str = "parquet") -> None
 def write_calls(calls: DataFrame, path: str, run_id: str) -> None:
     """Model calls as JSON lines, after a header row for the run."""
     stamp = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX")
-    rows = calls.select(F.lit("llm_call").alias("type"), F.lit(run_id).alias("run_id"), stamp.alias("timestamp"), "doc_id", "kind", F.col("content").alias("response"), "tokens_used", "success", "error")
+    rows = calls.select(F.lit("llm_call").alias("type"), F.lit(run_id).alias("run_id"), stamp.alias("timestamp"), "doc_id", "kind", "prompt", "system_prompt", F.col("content").alias("response"), "tokens_used", "success", "error")
     head = calls.sparkSession.range(1).select(F.lit("run_start").alias("type"), F.lit(run_id).alias("run_id"), stamp.alias("timestamp"))
     head.unionByName(rows, allowMissingColumns=True).write.mode("append").json(path)
 
