@@ -78,10 +78,18 @@ class Words:
         if not len(self.starts):
             self.hash = np.zeros(0, U)
             return
-        up, down = _powers(max(SLICE, 1 << (len(data) - 1).bit_length()))
-        codes = _byte_codes(lower, marks)[data]
-        codes *= up[: len(data)]
-        self.hash = mix(np.add.reduceat(codes, self.starts) * down[self.starts])
+        self.hash = np.empty(len(self.starts), U)
+        codes = _byte_codes(lower, marks)
+        at = 0
+        while at < len(self.starts):  # a text longer than a slice goes by pieces, so the powers stay few
+            begin = self.starts[at]
+            to = max(at + 1, int(np.searchsorted(self.starts, begin + SLICE)))
+            end = self.starts[to] if to < len(self.starts) else len(data)
+            up, down = _powers(max(SLICE, 1 << int(end - begin - 1).bit_length()))
+            inside = self.starts[at:to] - begin
+            self.hash[at:to] = np.add.reduceat(codes[data[begin:end]] * up[: end - begin], inside) * down[inside]
+            at = to
+        self.hash = mix(self.hash)
 
     def doc(self) -> np.ndarray:
         """Row of each word, within the slice."""

@@ -171,6 +171,8 @@ def test_words_and_grams():
     assert at.tolist() == [0, 1, 2, 5] and h[0] == h[2]
     long = ["x y " * 100_000, "z"]
     assert [len(w.hash) for w in slices(pa.array(long), size=1000)] == [200_000, 1]
+    (parts,) = slices(pa.array(["x y " * 300_000 + "w" * 2_000_000 + " x"]))
+    assert len(set(parts.hash.tolist())) == 3 and parts.hash[0] == parts.hash[-1]
 
 
 def test_digest(spark):
