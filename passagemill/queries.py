@@ -525,6 +525,50 @@ def metadata_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "m.chunk_id", "m.title", "m.summary", "m.intent", long(F.size("m.keywords")).alias("keywords"), long("m.token_count").alias("token_count"))
 
 
+@query(f"""
+WITH {_atom_ctes()}, {_SIM_CTES}
+SELECT s.doc_id, s.position::BIGINT AS position, 'END OF CHUNK:' || chr(10) || a.text || chr(10) || chr(10) || 'START OF NEW CHUNK:' || chr(10) || b.text AS context
+FROM sim s JOIN atom a ON a.doc_id = s.doc_id AND a.idx = s.position - 1 JOIN atom b ON b.doc_id = s.doc_id AND b.idx = s.position WHERE s.similarity < {THRESHOLD}""")
+def context_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = similarities(spark, sf_dir).select("doc_id", F.inline("proposals"))
+    return found.select("doc_id", long("position").alias("position"), X.context_text(F.col("text_before"), F.col("text_after")).alias("context"))
+
+
+@query(f"""
+WITH {_atom_ctes()}, {_SIM_CTES}, {_CHUNK_CTES}
+SELECT doc_id, chunk_ord, length(content)::BIGINT AS length, true AS enriched FROM chunk""")
+def chunk_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = _flat_chunks(similarities(spark, sf_dir, True))
+    return made.select("doc_id", long("chunk_ord").alias("chunk_ord"), long(F.length("content")).alias("length"), F.col("metadata").isNotNull().alias("enriched"))
+
+
+_INTENT = "CASE vec_id % 5 WHEN 0 THEN 'Warns' WHEN 1 THEN 'LISTS' WHEN 2 THEN ' lists' WHEN 3 THEN 'explain' END"
+
+
+@query("SELECT vec_id, CASE vec_id % 5 WHEN 0 THEN 'warns' WHEN 1 THEN 'lists' ELSE 'unknown' END AS intent FROM embeddings")
+def intent_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", K.intent(F.expr(_INTENT)).alias("intent"))
+
+
+_DESCRIBED = """CASE vec_id % 3 WHEN 0 THEN '{"title": "T' || vec_id || '", "intent": "DEFINES", "questions": ["why", "Why?", " "], "keywords": "aa, bb,, AA"}'
+  WHEN 1 THEN '{"questions": "- one' || '\\\\n' || '- two?", "keywords": ["one"]}' ELSE 'no json' END"""
+
+
+@query("""
+SELECT vec_id, CASE k WHEN 0 THEN 'T' || vec_id WHEN 1 THEN 'Untitled' ELSE 'Alpha beta gamma' END AS title, CASE k WHEN 2 THEN 'Content summary unavailable' ELSE '' END AS summary,
+       CASE k WHEN 0 THEN 'defines' ELSE 'unknown' END AS intent,
+       CASE k WHEN 0 THEN 'why?|Explain aa?|Explain bb?' WHEN 1 THEN 'one?|two?' ELSE 'What is alpha?|How does alpha relate to beta, gamma?|Explain beta.?' END AS questions,
+       CASE k WHEN 0 THEN 'aa|bb' WHEN 1 THEN 'one' ELSE 'alpha|beta|gamma' END AS keywords
+FROM (SELECT vec_id, vec_id % 3 AS k FROM embeddings)""")
+def reply_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .functions.replies import chunk_answer
+
+    chunk = F.array(F.struct(F.lit(0).alias("chunk_ord"), F.lit("Alpha beta gamma").alias("content"), F.array(F.lit(0)).alias("source_paragraphs"), F.lit("s").alias("parent_section"), F.lit(None).cast("string").alias("metadata")))
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.array(chunk_answer(F.expr(_DESCRIBED))).alias("a"))
+    made = rows.select("vec_id", C.enrich(chunk, F.col("a"))[0]["metadata"].alias("m"))
+    return made.select("vec_id", "m.title", "m.summary", "m.intent", F.array_join("m.questions", "|").alias("questions"), F.array_join("m.keywords", "|").alias("keywords"))
+
+
 @query()
 def model_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages with a language model whose replies are fixed."""
