@@ -36,13 +36,13 @@ def query(sql: str | None = None) -> Callable:
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return R.spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
 def atoms(spark: SparkSession, sf_dir: str, gs: int = 2, ms: int = 6) -> DataFrame:
     """Documents with the column ``atoms``."""
     parsed = docs(spark, sf_dir).select("doc_id", P.plain(X.text_paragraphs(F.col("text"))).alias("paragraphs"))
-    return parsed.select("doc_id", P.atomize(F.col("paragraphs"), F.lit(gs), F.lit(ms)).alias("atoms"))
+    return parsed.select("doc_id", X.barrier(P.atomize(F.col("paragraphs"), F.lit(gs), F.lit(ms))).alias("atoms"))
 
 
 def chunker(spark: SparkSession) -> Chunker:
@@ -158,7 +158,7 @@ SELECT d.doc_id, (SELECT count(*) FROM para p WHERE p.doc_id = d.doc_id)::BIGINT
        (SELECT count(*) FROM para p WHERE p.doc_id = d.doc_id) < 5 AND (SELECT count(*) FROM atom a WHERE a.doc_id = d.doc_id) < 5 AS short
 FROM documents d""")
 def short_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    run = chunker(spark).chunk_table(docs(spark, sf_dir), dry_run=True).documents
+    run = chunker(spark).chunk_table(spark.read.parquet(f"{sf_dir}/documents.parquet"), dry_run=True).documents
     return run.select("doc_id", long("paragraphs_before_atomize").alias("paragraphs"), long(F.size("paragraphs")).alias("atoms"), "short")
 
 
@@ -180,7 +180,7 @@ def similarities(spark: SparkSession, sf_dir: str, enriched: bool = False) -> Da
     pipeline = Pipeline(Context(made.config))
     if not enriched:
         pipeline.remove("enrich")
-    result = pipeline.run(R.from_table(docs(made.spark, sf_dir)))
+    result = pipeline.run(R.from_table(spark.read.parquet(f"{sf_dir}/documents.parquet")))
     if result.errors:
         raise RuntimeError("; ".join(result.errors))
     return result.documents
@@ -278,7 +278,7 @@ def form_chunks_validated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_atom_ctes()} SELECT doc_id, 0::BIGINT AS chunk_ord, string_agg(text, chr(10) || chr(10) ORDER BY idx) AS content, true AS bare FROM atom GROUP BY doc_id")
 def form_chunks_dry_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = _flat_chunks(chunker(spark).chunk_table(docs(spark, sf_dir), dry_run=True).documents)
+    made = _flat_chunks(chunker(spark).chunk_table(spark.read.parquet(f"{sf_dir}/documents.parquet"), dry_run=True).documents)
     return made.select("doc_id", long("chunk_ord").alias("chunk_ord"), "content", F.col("metadata").isNull().alias("bare"))
 
 
@@ -413,7 +413,7 @@ def plan_safety(spark: SparkSession, sf_dir: str) -> DataFrame:
 def token_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paragraphs packed by sentences up to 100 tokens; tests compare it with a loop."""
     parts = P.split_by_tokens(P.plain(X.text_paragraphs(F.col("text"))), 100)
-    return docs(spark, sf_dir).select("doc_id", F.inline(parts)).select("doc_id", "idx", "text")
+    return docs(spark, sf_dir).select("doc_id", X.barrier(parts).alias("parts")).select("doc_id", F.inline("parts")).select("doc_id", "idx", "text")
 
 
 @query()
@@ -575,7 +575,7 @@ def model_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .providers import FixedModel
 
     made = chunker(spark)
-    result = Pipeline(Context(made.config, FixedModel())).run(R.from_table(docs(made.spark, sf_dir)))
+    result = Pipeline(Context(made.config, FixedModel())).run(R.from_table(spark.read.parquet(f"{sf_dir}/documents.parquet")))
     return result.metrics
 
 

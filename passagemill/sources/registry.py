@@ -100,10 +100,23 @@ def read_files(spark: SparkSession, path: str, registry: Registry = REGISTRY) ->
     return registry.parse(files)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows``, dealt out over all cores if they are too few bytes to fill a split for each.
+
+    A small file is often one row group, which one task would read and then work on alone. A table
+    that fills its splits is read as it lies: dealing it out would cost a shuffle and gain nothing.
+    """
+    spark = rows.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    return rows.repartition(cores) if size < cores * split else rows
+
+
 def from_table(rows: DataFrame, doc_id: str = "doc_id", raw: str = "text", parse: Parser = text.parse, file_type: str = "text") -> DataFrame:
     """Documents of a table with an id and a text column."""
     key = F.col(doc_id)
-    return rows.select(key.alias("doc_id"), key.cast("string").alias("filename"), F.lit(file_type).alias("file_type"), parse(F.col(raw)).alias("parsed"), F.lit(None).cast("string").alias("error"))
+    return spread(rows.select(doc_id, raw)).select(key.alias("doc_id"), key.cast("string").alias("filename"), F.lit(file_type).alias("file_type"), parse(F.col(raw)).alias("parsed"), F.lit(None).cast("string").alias("error"))
 
 
 def from_texts(spark: SparkSession, texts: list[str]) -> DataFrame:
