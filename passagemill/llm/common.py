@@ -51,7 +51,7 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only where that is unset (tests on one machine) a folder of the warehouse is used.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         base = spark.conf.get("spark.sql.warehouse.dir") + "/_passagemill"
     return base.rstrip("/")
