@@ -3,88 +3,110 @@
 Each source's documents are cut into blocks of equal length. With target weight
 ``w`` a source's k-th block (from 0) is released at slot ``floor(k / w)`` and
 due by slot ``ceil((k + 1) / w)``; at every slot the earliest deadline among the
-released blocks goes first. The weights are fractions of one hyperperiod of
-``period`` slots, so one period's schedule, a fold over its slots, stands for
-all: block ``k`` of a source with ``q`` slots a period is in period ``k div q``.
-At every slot each source has had its weight's share to within one block.
-
-Everything is DataFrame expressions. The numbering inside a source runs over
-hashed pieces of bounded size with offsets per piece, so a source that holds
-most of the rows is many tasks, and only narrow columns are shuffled.
+released blocks goes first. The windows run over all slots of the run, and the
+weights are whole numbers of ``SCALE``: as long as it lasts, each source has had
+its weight's share to within one block at every slot, however long the run is.
+
+The schedule is a fold over the blocks, which are numbers on the driver (one per
+``BLOCK`` characters of text); all that touches rows is DataFrame expressions.
+The numbering inside a source runs over hashed pieces of bounded size with
+offsets per piece, so a source that holds most of the rows is many tasks, and
+only narrow columns are shuffled.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from array import array
+from fractions import Fraction
+from heapq import heapify, heappop, heappush
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .common import hold, let, table
+from .common import hold, table
 
 #: Characters in a block.
 BLOCK = 1 << 16
-#: Slots of one hyperperiod: weights are rounded to multiples of 1 / PERIOD.
+#: A source of weight 0 gets one slot in so many.
 PERIOD = 1000
+#: Weights are rounded to multiples of 1 / SCALE: over a run of a thousand million slots that is 1 / 1000 of a block.
+SCALE = 1 << 40
+#: Blocks of a source that a row of the schedule holds.
+RUN = 1 << 10
 #: Rows that a piece of a source holds about.
 PIECE = 1 << 12
 #: Default target: a source's share of all characters to this power.
 TEMPERATURE = 0.5
 
 
-def quotas(sources: DataFrame, targets: DataFrame | None, period: int) -> DataFrame:
-    """One row: all sources in order, with their slots per period, by largest remainder.
+def quotas(sources: DataFrame, targets: DataFrame | None, slots: int, period: int = PERIOD) -> DataFrame:
+    """One row: ``slots``, and all sources in order with their share ``q`` of the slots, by largest remainder.
 
     ``sources`` has (src, chars); it is one row per source, which is metadata. ``targets`` has
-    (source, weight); an unlisted source has weight 0 and gets one slot, the least there is.
+    (source, weight). A source that is unlisted or has weight 0 gets one slot in ``period``, the
+    least there is; the others get their weights' shares of all the rest, nothing forced.
     """
     if targets is None:
         weighed = sources.withColumn("w", F.pow(F.greatest(F.col("chars"), F.lit(1)).cast("double"), F.lit(TEMPERATURE)))
     else:
         listed = targets.groupBy(F.coalesce("source", F.lit("")).alias("src")).agg(F.sum(F.greatest(F.col("weight"), F.lit(0.0))).alias("w"))
         weighed = sources.join(listed, "src", "left").fillna(0.0, ["w"])
-    every = weighed.agg(F.array_sort(F.collect_list(F.struct("src", "w"))).alias("s"))
-    total = F.aggregate("s", F.lit(0.0), lambda a, x: a + x["w"])
-    # One slot each, the rest in proportion; more sources than slots lengthen the period.
-    slots = F.greatest(F.lit(period), F.size("s") * 10)
-    free = (slots - F.size("s")).cast("double")
-    share = lambda x: F.when(F.col("total") > 0, x["w"] / F.col("total")).otherwise(1.0 / F.size("s")) * F.col("free")
-    every = every.select("s", total.alias("total"), slots.alias("slots"), free.alias("free"))
-    floors = F.transform("s", lambda x: F.struct(x["src"].alias("src"), (F.floor(share(x)) + 1).cast("int").alias("q"), (share(x) - F.floor(share(x))).alias("rest")))
-    every = every.select("slots", floors.alias("f"))
-    short = F.col("slots") - F.aggregate("f", F.lit(0), lambda a, x: a + x["q"])
-    # The largest remainders get what rounding left over; ties by name.
-    order = F.array_sort(F.transform("f", lambda x: F.struct((-x["rest"]).alias("r"), x["src"].alias("src"))))
-    every = every.select("slots", "f", F.transform(F.slice(order, F.lit(1), F.greatest(short, F.lit(0))), lambda x: x["src"]).alias("more"))
-    final = F.transform("f", lambda x: F.struct(x["src"].alias("src"), (x["q"] + F.array_contains("more", x["src"]).cast("int")).alias("q")))
-    return every.select("slots", final.alias("s"))
-
-
-def schedule(every: DataFrame) -> DataFrame:
-    """``(src, q, slots, at)``: the slots of one period that each source gets, in order."""
-
-    def slot(acc: Column, t: Column) -> Column:
-        # done[i] blocks of source i are placed; its next is released at floor(done * slots / q).
-        def rank(x: Column, i: Column) -> Column:
-            done = acc["done"][i]
-            released = F.floor(done * F.col("slots") / x["q"]) <= t
-            due = F.ceil((done + 1) * F.col("slots") / x["q"])
-            return F.struct((~released | (done >= x["q"])).alias("closed"), due.alias("due"), i.alias("i"))
-
-        def place(best: Column) -> Column:
-            return F.struct(
-                F.transform(acc["done"], lambda d, i: F.when(i == best["i"], d + 1).otherwise(d)).alias("done"),
-                F.concat(acc["picked"], F.array(best["i"])).alias("picked"),
-            )
-
-        return let(F.array_min(F.transform("s", rank)), place)
-
-    zero = F.struct(F.transform("s", lambda x: F.lit(0)).alias("done"), F.array().cast("array<int>").alias("picked"))
-    picked = F.aggregate(F.sequence(F.lit(0), F.col("slots") - 1), zero, slot, lambda acc: acc["picked"])
-    taken = every.where(F.size("s") > 0).select("slots", "s", picked.alias("picked"))
-    turns = taken.select("slots", "s", F.posexplode("picked").alias("slot", "i"))
-    return turns.groupBy(F.col("s")[F.col("i")]["src"].alias("src"), F.col("s")[F.col("i")]["q"].alias("q"), "slots").agg(
-        F.array_sort(F.collect_list("slot")).alias("at")
-    )
+    found = {r["src"]: Fraction(r["w"]) for r in weighed.select("src", "w").collect()}
+    names, total = sorted(found), sum(found.values())
+    idle = sum(not w for w in found.values())
+    # With many idle sources they share half of the slots at most.
+    least = Fraction(1, max(period, 2 * idle)) if total else Fraction(1, max(idle, 1))
+    shares = [(found[x] / total * (1 - idle * least) if found[x] else least) * slots for x in names]
+    q = [max(1, x.__floor__()) for x in shares]
+    # The largest remainders get what rounding left over; ties by name. Shares under one slot come out of the largest.
+    over = slots - sum(q)
+    for i in sorted(range(len(q)), key=lambda i: (q[i] - shares[i], i))[: max(over, 0)]:
+        q[i] += 1
+    if q and over < 0:
+        q[q.index(max(q))] += over
+    return sources.sparkSession.createDataFrame([(slots, list(zip(names, q)))], "slots long, s array<struct<src:string,q:long>>")
+
+
+def place(slots: int, q: list[int], blocks: list[int]) -> list[array]:
+    """The slots of each source's blocks, in order: earliest deadline first, in exact numbers.
+
+    Source i has weight ``q[i] / slots`` and ``blocks[i]`` blocks. Slots in which no block is
+    released are leapt over, so the work is per block.
+    """
+    at = [array("q") for _ in q]
+    waiting = [(0, i) for i, n in enumerate(blocks) if n]  # by release
+    ready: list[tuple[int, int]] = []  # by deadline, ties in the order of the sources
+    heapify(waiting)
+    t = 0
+    while waiting or ready:
+        if not ready:
+            t = max(t, waiting[0][0])
+        while waiting and waiting[0][0] <= t:
+            i = heappop(waiting)[1]
+            heappush(ready, (-(-(len(at[i]) + 1) * slots // q[i]), i))
+        i = heappop(ready)[1]
+        at[i].append(t)
+        t += 1
+        if len(at[i]) < blocks[i]:
+            heappush(waiting, (len(at[i]) * slots // q[i], i))
+    return at
+
+
+def schedule(every: DataFrame, blocks: dict[str, int] | None = None) -> DataFrame:
+    """``(src, q, slots, run, at)``: the slots that each source's blocks get, in order, RUN blocks a row.
+
+    ``blocks`` has each source's number of blocks. Without it the schedule is one hyperperiod, in which
+    a source has ``q`` blocks and a single row.
+    """
+    shape = "src string, q long, slots long, run long, at array<long>"
+    rows = []
+    for slots, s in every.collect():
+        at = place(slots, [x["q"] for x in s], [x["q"] if blocks is None else blocks[x["src"]] for x in s])
+        for x, own in zip(s, at):
+            step = max(1, len(own) if blocks is None else RUN)
+            rows += [(x["src"], x["q"], slots, k // step, own[k : k + step].tolist()) for k in range(0, len(own), step)]
+    return every.sparkSession.createDataFrame(rows, shape)
 
 
 def mix_sources(docs: DataFrame, targets: DataFrame | None = None, block: int = BLOCK, period: int = PERIOD) -> DataFrame:
@@ -95,11 +117,11 @@ def mix_sources(docs: DataFrame, targets: DataFrame | None = None, block: int =
     source): reading by (slot, place) gives the mix. ``place`` is the characters of the source
     before the document, plus ties by doc_id.
 
-    Every row is kept, once. When a source has run out its slots stay empty and the others keep
-    theirs, in proportion to each other. A null source counts as the source "" and is returned as
+    Every row is kept, once. When a source has run out the others keep their windows, and slots
+    that nobody claims stay empty. A null source counts as the source "" and is returned as
     null; a null text has no characters; repeated rows are placed one by one. A text longer than
     a block takes up as many blocks as it fills. Targets (source, weight) default to the share of
-    characters to the power TEMPERATURE.
+    characters to the power TEMPERATURE; a source without one gets one slot in ``period``.
     """
     rows = docs.select("doc_id", "source", F.coalesce("source", F.lit("")).alias("src"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"))
     rows = hold(rows)  # narrow: read three times below
@@ -108,7 +130,9 @@ def mix_sources(docs: DataFrame, targets: DataFrame | None = None, block: int =
     sizes = rows.groupBy("src", "piece").agg(F.sum("n_chars").alias("chars"))
     before = Window.partitionBy("src").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("src", "piece", F.coalesce(F.sum("chars").over(before), F.lit(0)).alias("offset"))
-    plan = schedule(quotas(sizes.groupBy("src").agg(F.sum("chars").alias("chars")), targets, period))
+    sources = sizes.groupBy("src").agg(F.sum("chars").alias("chars"))
+    blocks = {r["src"]: r["chars"] // int(block) + 1 for r in sources.collect()}
+    plan = schedule(quotas(sources, targets, SCALE, period), blocks).select("src", "run", "at")
     inside = Window.partitionBy("src", "piece").orderBy(F.xxhash64("doc_id"), "doc_id", "n_chars").rowsBetween(Window.unboundedPreceding, -1)
     placed = (
         rows.withColumn("inner", F.coalesce(F.sum("n_chars").over(inside), F.lit(0)))
@@ -116,9 +140,10 @@ def mix_sources(docs: DataFrame, targets: DataFrame | None = None, block: int =
         .withColumn("place", F.col("offset") + F.col("inner"))
         .withColumn("block", F.expr(f"place div {int(block)}"))
     )
-    # One row per source, each with a period's slots: PERIOD numbers in all, or 10 per source.
-    slot = F.expr("(block div q) * slots") + F.element_at("at", (F.col("block") % F.col("q") + 1).cast("int"))
-    return placed.join(plan, "src").select("doc_id", "source", "n_chars", "block", slot.cast("long").alias("slot"), "place")
+    # A number per block in all, so the schedule is small beside any column of the rows.
+    slot = F.element_at("at", (F.col("block") % RUN + 1).cast("int"))
+    placed = placed.withColumn("run", F.expr(f"block div {RUN}"))
+    return placed.join(F.broadcast(plan), ["src", "run"]).select("doc_id", "source", "n_chars", "block", slot.alias("slot"), "place")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

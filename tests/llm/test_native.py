@@ -215,3 +215,37 @@ def test_schedule_stays_within_a_block(spark, weights):
         for t in range(100):
             done += slots[t] == r["src"]
             assert abs(done - (t + 1) * r["q"] / 100) < 1
+
+
+def share_errors(rows, weights):
+    """The most that a source is off its weight, in blocks, at any slot before the first one has run out."""
+    at = {x: sorted(r["slot"] for r in rows if r["source"] == x) for x in weights}
+    end, total = min(max(own) for own in at.values()), sum(weights.values())
+    out = {}
+    for x, own in at.items():
+        done, out[x] = 0, 0.0
+        for t in range(end):
+            done += done < len(own) and own[done] == t
+            out[x] = max(out[x], abs(done - (t + 1) * weights[x] / total))
+    return out
+
+
+@pytest.mark.parametrize("given", [True, False])
+def test_mix_keeps_target_weights_over_many_periods(spark, given):
+    # One document a block, ten periods: a fixed period with forced slots was four blocks short in each.
+    counts = {"hot": 5000} | {f"s{i}": 560 for i in range(9)}
+    rows = [(f"{x}-{k}", x, "x" * 10) for x, n in counts.items() for k in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id string, source string, text string")
+    weights = {x: 0.5 if x == "hot" else 0.5 / 9 for x in counts} if given else {x: n**0.5 for x, n in counts.items()}
+    targets = spark.createDataFrame(list(weights.items()), "source string, weight double") if given else None
+    got = mixing.mix_sources(docs, targets, block=10).collect()
+    assert len(got) == len(rows) == len({r["slot"] for r in got})
+    assert max(share_errors(got, weights).values()) < 1.001
+
+
+def test_mix_places_sources_without_a_target(spark):
+    docs = spark.createDataFrame([(k, x, "x" * 10) for x in "abz" for k in range(40)], "doc_id long, source string, text string")
+    targets = spark.createDataFrame([("a", 3.0), ("b", 1e-9), ("c", 5.0)], "source string, weight double")
+    got = mixing.mix_sources(docs, targets, block=10).collect()
+    assert len(got) == 120 == len({r["slot"] for r in got})
+    assert [r["slot"] for r in sorted(got, key=lambda r: r["place"]) if r["source"] == "z"][1:] == pytest.approx([1000 * k for k in range(1, 40)], abs=1000)
