@@ -7,6 +7,7 @@ lengths gives every match's position. There is no shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,10 +43,20 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])"
+#: Only where an IBAN may begin; where it ends is for the country's length and the checksum to say.
+IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=(?:\x20?[A-Z0-9]){11})"
 SSN = r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"
 SHORT_CARD = r"(?<![0-9])[0-9](?:[\x20-]?[0-9]){12,14}(?![0-9])"
 
+#: Characters of an IBAN without spaces, by country. Other countries' may have any length in IBAN_RANGE.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU",
+}
+IBAN_RANGE = range(15, 35)
+
 #: The contract's four kinds, in its order.
 BASE = [
     Kind("email", EMAIL, "at", "none", 0.9, "mail|contact|write"),
@@ -101,8 +112,6 @@ def _valid(check: str, m: Column) -> Column:
     if check == "ip":
         parts = F.transform(F.split(m, r"\."), lambda p: F.regexp_replace(p, "^0+", ""))
         return F.forall(parts, lambda p: (F.length(p) < 3) | ((F.length(p) == 3) & (p <= "255")))
-    if check == "iban":
-        return mod97(F.replace(m, F.lit(" "), F.lit("")))
     n = F.length(_digits(m))
     if check == "phone":
         return n.between(8, 15)
@@ -117,22 +126,82 @@ def _needs(text: Column, need: str) -> Column:
     return F.contains(text, F.lit({"at": "@", "plus": "+"}[need]))
 
 
+def _score(kind: Kind, before: Column, after: Column) -> Column:
+    if not kind.words:
+        return F.lit(kind.base)
+    near = F.lower(F.concat(F.right(before, F.lit(CONTEXT)), F.lit(" "), F.left(after, F.lit(CONTEXT)))).rlike(rf"\b(?:{kind.words})")
+    return F.when(near, F.least(F.lit(1.0), F.lit(kind.base + 0.3))).otherwise(F.lit(kind.base))
+
+
+def _iban(head: Column) -> Column:
+    """The IBAN at the start of ``head``, or null: of its country's length or, if that is unknown, the longest that passes."""
+    country = F.left(head, F.lit(2))
+    listed = country.isin(*" ".join(IBAN_LENGTHS.values()).split())
+
+    def ends(n: int) -> Column:
+        able = country.isin(*IBAN_LENGTHS.get(n, "").split()) | ~listed
+        return F.when(able, F.nullif(F.regexp_extract(head, rf"^(?:\x20?[A-Z0-9]){{{n}}}(?![A-Za-z0-9])", 0), F.lit("")))
+
+    return F.get(F.filter(F.array(*[ends(n) for n in reversed(IBAN_RANGE)]), lambda m: mod97(F.replace(m, F.lit(" "), F.lit("")))), 0)
+
+
+def _iban_spans(text: Column, kind: Kind) -> Column:
+    """All IBANs, in order. The pattern gives the places where one may begin; one that begins inside another is none."""
+    empty = F.array().cast(SPAN)
+    # A head holds an IBAN with a space before each character, and its context. Each place is four characters and a gap.
+    size = 2 * max(IBAN_RANGE) + CONTEXT
+
+    def found(gaps: Column, matches: Column) -> Column:
+        def head(i: Column) -> Column:
+            ahead = F.sequence(i, F.least(i + size // 5, F.size(matches) - 1))
+            return F.left(F.array_join(F.transform(ahead, lambda j: F.concat(matches[j], F.left(gaps[j + 1], F.lit(size)))), ""), F.lit(size))
+
+        def step(acc, i):
+            start = acc["pos"] + F.length(gaps[i])
+            before = F.right(F.concat(acc["tail"], gaps[i]), F.lit(CONTEXT))
+
+            def taken(h: Column, m: Column) -> Column:
+                end = start + F.length(m)
+                sure = _score(kind, before, F.substr(h, F.length(m) + 1))
+                span = F.array(F.struct(F.lit(kind.name).alias("kind"), start.alias("start"), end.alias("end"), sure.alias("score"))).cast(SPAN)
+                keep = m.isNotNull() & (start >= acc["until"]) & (sure >= kind.least)
+                return F.struct(
+                    (start + F.length(matches[i])).alias("pos"),
+                    F.when(keep, end).otherwise(acc["until"]).alias("until"),
+                    F.right(F.concat(before, matches[i]), F.lit(CONTEXT)).alias("tail"),
+                    F.concat(acc["out"], F.when(keep, span).otherwise(empty)).alias("out"),
+                )
+
+            return let(head(i), lambda h: let(_iban(h), lambda m: taken(h, m)))
+
+        zero = F.struct(F.lit(0).alias("pos"), F.lit(0).alias("until"), F.lit("").alias("tail"), empty.alias("out"))
+        return F.when(
+            F.size(matches) > 0,
+            F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), zero, step, lambda acc: acc["out"]),
+        ).otherwise(empty)
+
+    return _matched(text, kind, found)
+
+
+def _matched(text: Column, kind: Kind, found: Callable[[Column, Column], Column]) -> Column:
+    """``found(gaps, matches)`` of the kind's pattern; no spans where the text cannot have a match."""
+    pattern = kind.pattern
+    spans = let(F.split(text, pattern, -1), lambda gaps: let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda ms: found(gaps, ms)))
+    return F.when(_needs(text, kind.need), spans).otherwise(F.array().cast(SPAN))
+
+
 def _spans(text: Column, kind: Kind) -> Column:
     """All valid spans of one kind, in order."""
+    if kind.check == "iban":
+        return _iban_spans(text, kind)
     empty = F.array().cast(SPAN)
 
-    def score(before: Column, after: Column) -> Column:
-        if not kind.words:
-            return F.lit(kind.base)
-        near = F.lower(F.concat(F.right(before, F.lit(CONTEXT)), F.lit(" "), F.left(after, F.lit(CONTEXT)))).rlike(rf"\b(?:{kind.words})")
-        return F.when(near, F.least(F.lit(1.0), F.lit(kind.base + 0.3))).otherwise(F.lit(kind.base))
-
     def found(gaps: Column, matches: Column) -> Column:
         def step(acc, i):
             gap, match = gaps[i], matches[i]
             start = acc["pos"] + F.length(gap)
             end = start + F.length(match)
-            sure = score(gap, gaps[i + 1])
+            sure = _score(kind, gap, gaps[i + 1])
             span = F.array(F.struct(F.lit(kind.name).alias("kind"), start.alias("start"), end.alias("end"), sure.alias("score"))).cast(SPAN)
             keep = _valid(kind.check, match)
             if kind.least:
@@ -145,9 +214,7 @@ def _spans(text: Column, kind: Kind) -> Column:
             F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), zero, step, lambda acc: acc["out"]),
         ).otherwise(empty)
 
-    pattern = kind.pattern
-    spans = let(F.split(text, pattern, -1), lambda gaps: let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda ms: found(gaps, ms)))
-    return F.when(_needs(text, kind.need), spans).otherwise(empty)
+    return _matched(text, kind, found)
 
 
 def base_spans(text: Column) -> Column:

@@ -120,6 +120,29 @@ def test_redaction(spark):
     assert rows[2]["spans"] == 1
 
 
+IBANS = {
+    "pay DE89370400440532013000 BIC COBADEFFXXX": ["DE89370400440532013000"],
+    "GB29 NWBK 6016 1331 9268 19 IN full": ["GB29 NWBK 6016 1331 9268 19"],
+    "GB82WEST12345698765432 2024-01-01": ["GB82WEST12345698765432"],
+    "NO9386011117947 NO9386011117947": ["NO9386011117947"] * 2,
+    "🙂 GB20 DE89 3704 0044 0532 0130 00 X1": ["DE89 3704 0044 0532 0130 00"],
+    "MT84MALT011000012345MTLCAST001S": ["MT84MALT011000012345MTLCAST001S"],
+    "DE89370400440532013001 BIC, DE8937040044053201300 X, GB82WEST12345698765432X": [],
+    "AA11 " * 2000: [],
+}
+
+
+def test_ibans_before_capitals_and_digits(spark):
+    texts = list(IBANS)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for row in pii.pii_digest(df).collect():
+        found = [s.split(":") for s in row["spans"].split(",") if s.startswith("iban")]
+        t = texts[row["doc_id"]]
+        assert [t[int(a) : int(b)] for _, a, b in found] == IBANS[t]
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(df).collect()}
+    assert clean[0] == "pay [iban] BIC COBADEFFXXX" and clean[1] == "[iban] IN full" and clean[2] == "[iban] 2024-01-01"
+
+
 def rule(host, path):
     best = None
     for verdict, h, p in url_filter.RULES:
