@@ -2,14 +2,19 @@
 
 Every line, paragraph and whole text is a unit. A unit is normalised to lower-case words; its
 set of word bigrams is compared with each template whose size can reach the threshold:
-Dice >= t needs (2 - t) * min(a, b) >= t * max(a, b). All of it is row-local.
+Dice >= t needs (2 - t) * min(a, b) >= t * max(a, b). What no unit shows, a notice inside other
+prose or wrapped among other lines, is looked for in runs of words of about a template's length.
+All of it is row-local.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import barrier
 from .common import let, table
 
 #: Least Dice coefficient, in hundredths: comparisons are of whole numbers.
@@ -47,6 +52,24 @@ _GPL = (
     "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any "
     "later version."
 )
+_MIT_WHOLE = _MIT + (
+    " IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN "
+    "ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER "
+    "DEALINGS IN THE SOFTWARE."
+)
+_BSD_CLAUSE = (
+    " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+    "products derived from this software without specific prior written permission."
+)
+_BSD_DISCLAIMER = (
+    ' THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, '
+    "INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE "
+    "DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, "
+    "SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR "
+    "SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, "
+    "WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE "
+    "OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
 TEMPLATES = [
     ("apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("apache-2.0", _APACHE),
@@ -63,21 +86,62 @@ TEMPLATES = [
     ("mit", "Licensed under the MIT License."),
     ("mit", _MIT),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("mit", _MIT_WHOLE),
+    ("bsd", _BSD + _BSD_DISCLAIMER),
+    ("bsd", _BSD + _BSD_CLAUSE + _BSD_DISCLAIMER),
 ]
 
 
+def _template_words(text: str) -> list[str]:
+    return "".join(c if c.isascii() and c.isalnum() else " " for c in text.lower()).split()
+
+
 def _template_bigrams(text: str) -> list[str]:
-    words = "".join(c if c.isascii() and c.isalnum() else " " for c in text.lower()).split()
+    words = _template_words(text)
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:])})
 
 
-def _literal() -> Column:
+def _least(size: int, percent: int) -> int:
+    """Bigrams that anything of the threshold's Dice shares with a template of ``size``, at least."""
+    return -(-size * percent // (200 - percent))
+
+
+def _longest(text: str, percent: int) -> int:
+    """Bigrams, repeated ones too, of the longest run of words that is compared with a template."""
+    return (len(_template_words(text)) - 1) * (200 - percent) // percent
+
+
+def _literal(percent: int = PERCENT) -> Column:
     return F.array(
         *[
-            F.struct(F.lit(name).alias("name"), F.lit(i).alias("template"), F.array(*[F.lit(b) for b in _template_bigrams(text)]).alias("grams"))
+            F.struct(
+                F.lit(name).alias("name"), F.lit(i).alias("template"), F.array(*[F.lit(b) for b in _template_bigrams(text)]).alias("grams"),
+                F.lit(_least(len(_template_bigrams(text)), percent)).alias("least"), F.lit(_longest(text, percent)).alias("longest"),
+            )
             for i, (name, text) in enumerate(TEMPLATES)
         ]
-    )
+    )
+
+
+#: Words so common that a text is not looked at for having them, unless a template needs it.
+_COMMON = set("a an and any are as at be but by for from in is it its may of on or other out that the this to under use with work you your".split())
+
+
+def _keys(percent: int) -> list[str]:
+    """Words of which every text with a notice has one.
+
+    A notice shares ``_least`` bigrams with its template, so it has one of any set of more than
+    the others; the set is that of all bigrams with one of the words. Words that other templates
+    took come first, then long ones.
+    """
+    keys: set[str] = set()
+    for _, text in sorted(TEMPLATES, key=lambda t: len(t[1])):
+        grams = [b.split() for b in _template_bigrams(text)]
+        for word in sorted({w for b in grams for w in b}, key=lambda w: (w not in keys, w in _COMMON, -len(w), w)):
+            if sum(bool(keys.intersection(b)) for b in grams) > len(grams) - _least(len(grams), percent):
+                break
+            keys.add(word)
+    return sorted(keys)
 
 
 def _normalised(text: Column) -> Column:
@@ -89,6 +153,32 @@ def _grams(words: Column) -> Column:
     return F.when(F.size(words) >= 2, F.array_distinct(pairs)).otherwise(F.array().cast("array<string>"))
 
 
+def _sized(percent: int) -> Callable[[Column], Column]:
+    """A function from a unit's words to its best template, with whether it is ``enough``; null where no template is of its size."""
+    sizes = [len(_template_bigrams(text)) for _, text in TEMPLATES]
+    low = _least(min(sizes), percent)
+    high = max(sizes) * (200 - percent) // percent
+
+    def best(grams: Column) -> Column:
+        def able(t: Column) -> Column:
+            a, b = F.size(grams), F.size(t["grams"])
+            return F.least(a, b) * (200 - percent) >= F.greatest(a, b) * percent
+
+        return F.array_min(F.transform(F.filter(_literal(percent), able), lambda t: _dice(grams, t, percent)))
+
+    def sized(words: Column) -> Column:
+        # w words have at most w - 1 bigrams; more than ``high`` distinct ones are sorted out below.
+        return F.when(F.size(words) - 1 >= low, let(_grams(words), lambda g: F.when(F.size(g).between(F.lit(low), F.lit(high)), best(g))))
+
+    return sized
+
+
+def _dice(grams: Column, t: Column, percent: int) -> Column:
+    shared, both = F.size(F.array_intersect(grams, t["grams"])), F.size(grams) + F.size(t["grams"])
+    enough = shared * 200 >= both * percent
+    return F.struct((-2.0 * shared / both).alias("less"), t["template"].alias("template"), t["name"].alias("name"), enough.alias("enough"), shared.alias("shared"))
+
+
 def scan_licenses(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """What licence notices the rows of ``docs(doc_id, text)`` carry: one row per unit that matches.
 
@@ -98,8 +188,7 @@ def scan_licenses(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     each by themselves; other columns are ignored.
     """
     sizes = [len(_template_bigrams(text)) for _, text in TEMPLATES]
-    low = -(-min(sizes) * percent // (200 - percent))
-    high = max(sizes) * (200 - percent) // percent
+    low = _least(min(sizes), percent)
     text = F.coalesce("text", F.lit(""))
 
     def unit(kind: str, parts: Column, keep) -> Column:
@@ -113,30 +202,75 @@ def scan_licenses(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     units = docs.select("doc_id", F.explode(F.concat(lines, unit("paragraph", paragraphs, several), whole)).alias("u")).select("doc_id", "u.*")
     units = units.where(F.length("body") >= 2 * low)  # w words are at least 2 w - 1 characters
 
-    def best(grams: Column) -> Column:
-        def able(t: Column) -> Column:
-            a, b = F.size(grams), F.size(t["grams"])
-            return F.least(a, b) * (200 - percent) >= F.greatest(a, b) * percent
+    found = units.select("doc_id", "unit", "unit_no", let(_normalised(F.col("body")), _sized(percent)).alias("b"))
+    return found.where("b.enough").select(
+        "doc_id", "unit", F.col("unit_no").cast("long").alias("unit_no"), F.col("b.name").alias("license"), F.round(-F.col("b.less"), 6).alias("dice")
+    )
 
-        def dice(t: Column) -> Column:
-            shared, both = F.size(F.array_intersect(grams, t["grams"])), F.size(grams) + F.size(t["grams"])
-            enough = shared * 200 >= both * percent
-            return F.struct((-2.0 * shared / both).alias("less"), t["template"].alias("template"), t["name"].alias("name"), enough.alias("enough"))
 
-        return F.array_min(F.transform(F.filter(_literal(), able), dice))
+def embedded_notices(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The notices that are in none of the units of :func:`scan_licenses`, in the same columns.
 
-    def sized(words: Column) -> Column:
-        # w words have at most w - 1 bigrams; more than ``high`` distinct ones are sorted out below.
-        return F.when(F.size(words) - 1 >= low, let(_grams(words), lambda g: F.when(F.size(g).between(F.lit(low), F.lit(high)), best(g))))
+    The unit is "notice", unit_no is the number of its first word in the text (from 0). Every run
+    of words up to 1.5 times as long as a template (at 80 %) is compared with it, in what is left
+    when units that match are blanked out; of the runs from one word the best counts, and of runs
+    that overlap the one that shares most with its template (ties by Dice, place, length, template order).
+    """
+    sized = _sized(percent)
+    keys, grams = _keys(percent), sorted({b for _, text in TEMPLATES for b in _template_bigrams(text)})
+    fewest = min(_least(len(_template_bigrams(text)), percent) for _, text in TEMPLATES)
+    # A cheap test first: most texts have none of the words.
+    asked = docs.where(F.lower("text").rlike(rf"(?<![a-z0-9])(?:{'|'.join(keys)})(?![a-z0-9])"))
 
-    found = units.select("doc_id", "unit", "unit_no", let(_normalised(F.col("body")), sized).alias("b"))
-    return found.where("b.enough").select(
-        "doc_id", "unit", F.col("unit_no").cast("long").alias("unit_no"), F.col("b.name").alias("license"), F.round(-F.col("b.less"), 6).alias("dice")
+    def left(body: Column, parts: Callable[[Column], Column]) -> Column:
+        blanked = lambda ws: F.when(F.coalesce(sized(ws)["enough"], F.lit(False)), F.array_repeat(F.lit("|"), F.size(ws))).otherwise(parts(ws))
+        return let(_normalised(body), blanked)
+
+    def lines(p: Column) -> Column:
+        return F.flatten(F.transform(F.split(p, "\n", -1), lambda x: left(x, lambda ws: ws)))
+
+    paragraphs = F.transform(F.split("text", r"\n[\x20\t]*\n", -1), lambda p: left(p, lambda _: lines(p)))
+    words = left(F.col("text"), lambda _: F.flatten(paragraphs))
+    pairs = lambda ws: F.transform(F.sequence(F.lit(0), F.size(ws) - 2), lambda i: F.concat(ws[i], F.lit(" "), ws[i + 1]))
+    asked = asked.select("doc_id", barrier(let(words, lambda ws: F.when(F.size(ws) >= 2, pairs(ws)))).alias("pairs"))
+    hits = F.filter(F.sequence(F.lit(0), F.size("pairs") - 1), lambda i: F.col("pairs")[i].isin(*grams))
+    asked = asked.where(F.size("pairs") > 0).select("doc_id", "pairs", barrier(hits).alias("hits"))
+    asked = asked.where(F.size("hits") >= fewest)
+
+    def runs(t: Column) -> Column:
+        # A best run begins and ends with a bigram of the template and has ``least`` of them.
+        def from_hit(own: Column, k: Column) -> Column:
+            def run(j: Column) -> Column:
+                def scored(d: Column) -> Column:
+                    return F.struct(d["less"].alias("less"), own[k].alias("start"), own[j].alias("stop"), t["template"].alias("template"), t["name"].alias("name"), d["enough"].alias("enough"), d["shared"].alias("shared"))
+
+                return let(_dice(F.array_distinct(F.slice("pairs", own[k] + 1, own[j] - own[k] + 1)), t, percent), scored)
+
+            ends = F.sequence(k + t["least"] - 1, F.least(k + t["longest"], F.size(own)) - 1)
+            near = F.filter(ends, lambda j: own[j] - own[k] < t["longest"])
+            return F.array_min(F.filter(F.transform(near, run), lambda r: r["enough"]))
+
+        def from_hits(own: Column) -> Column:
+            starts = F.filter(F.sequence(F.lit(0), F.size(own) - t["least"]), lambda k: own[k + t["least"] - 1] - own[k] < t["longest"])
+            return F.when(F.size(own) >= t["least"], F.filter(F.transform(starts, lambda k: from_hit(own, k)), lambda r: r.isNotNull()))
+
+        return let(F.filter("hits", lambda i: F.array_contains(t["grams"], F.col("pairs")[i])), from_hits)
+
+    every = F.flatten(F.filter(F.transform(_literal(percent), runs), lambda r: r.isNotNull()))
+    every = F.array_sort(F.transform(every, lambda r: F.struct((-r["shared"]).alias("more"), *[r[x].alias(x) for x in ("less", "start", "stop", "template", "name")])))
+    asked = asked.select("doc_id", barrier(every).alias("runs")).where(F.size("runs") > 0)
+    # A run of bigrams start..stop has the words start..stop + 1.
+    apart = lambda taken, r: F.forall(taken, lambda x: (r["start"] > x["stop"] + 1) | (x["start"] > r["stop"] + 1))
+    zero = F.filter("runs", lambda r: F.lit(False))
+    chosen = F.aggregate("runs", zero, lambda taken, r: F.when(apart(taken, r), F.concat(taken, F.array(r))).otherwise(taken))
+    return asked.select("doc_id", F.explode(chosen).alias("r")).select(
+        "doc_id", F.lit("notice").alias("unit"), F.col("r.start").cast("long").alias("unit_no"), F.col("r.name").alias("license"), F.round(-F.col("r.less"), 6).alias("dice")
     )
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_licenses(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return scan_licenses(docs).unionAll(embedded_notices(docs))
 
 
 def _sql() -> str:

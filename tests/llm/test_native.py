@@ -213,6 +213,74 @@ def test_licenses(spark, nothing):
     assert licenses.scan_licenses(nothing).count() == 0
 
 
+def matched(body):
+    g = bigrams(body)
+    return any(2 * len(g & bigrams(x)) >= 0.8 * (len(g) + len(bigrams(x))) for _, x in licenses.TEMPLATES if g)
+
+
+def notices(t):
+    """All runs of words outside matched units, best per first word, then of those that overlap the one that shares most."""
+    words = lambda x: re.findall("[a-z0-9]+", x.lower())
+    left = []
+    for p in re.split(r"\n[ \t]*\n", t):
+        for line in p.split("\n"):
+            left += [None if any(map(matched, (t, p, line))) else w for w in words(line)]
+    found = []
+    for s in range(len(left)):
+        own = []
+        for n, (name, x) in enumerate(licenses.TEMPLATES):
+            target, g = bigrams(x), set()
+            for e in range(s, min(s + int((len(words(x)) - 1) * 1.5), len(left) - 1)):
+                g.add((left[e], left[e + 1]))
+                both = len(g) + len(target)
+                if 200 * len(g & target) >= 80 * both:
+                    own.append((-2.0 * len(g & target) / both, s, e, n, name, len(g & target)))
+        for n in {r[3] for r in own}:
+            found.append(min(r for r in own if r[3] == n))
+    chosen = []
+    for r in sorted(found, key=lambda r: (-r[5], r)):
+        if all(r[1] > x[2] + 1 or x[1] > r[2] + 1 for x in chosen):
+            chosen.append(r)
+    return {("notice", r[1], r[4], round(-r[0], 6)) for r in chosen}
+
+
+def test_notices_inside_other_text(spark, nothing):
+    r = random.Random(9)
+    prose = lambda n: " ".join(r.choice(["the", "of", "software", "license", "and", str(r.randrange(999)), str(r.randrange(999))]) for _ in range(n))
+    wrap = lambda t, n: "\n".join(" ".join(t.split()[i : i + n]) for i in range(0, len(t.split()), n))
+    whole, bsd = licenses.TEMPLATES[-3][1], licenses.TEMPLATES[-1][1]
+    halves = whole.replace("conditions: The", "conditions:\n\nThe").replace("Software. THE", "Software.\n\nTHE").split("\n\n")
+    texts = [
+        f"{prose(100)}\n\n" + "\n\n".join(wrap(x, 12) for x in halves) + f"\n\n{prose(60)}",
+        f"{prose(90)}\n{wrap(bsd, 11)}\n{prose(90)}",
+        "This code is released under the MIT License. See the file for more.\nLicensed under CC BY 4.0.\nAll of it is licensed under CC BY-NC 4.0, and that is that.",
+        "Ours is released under the MIT License, theirs of course is licensed under the Apache License, Version 2.0, and so on.",
+        prose(300), "the license", None, "",
+    ]
+    for _ in range(25):
+        words = r.choice(licenses.TEMPLATES)[1].split()
+        for _ in range(r.randint(0, 5)):
+            words[r.randrange(len(words))] = "x"
+        text = wrap(f"{prose(r.randint(0, 30))} {' '.join(words)} {prose(r.randint(0, 30))}", r.randint(5, 40))
+        texts.append(text.replace("\n", "\n\n", r.randint(0, 2)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = defaultdict(set)
+    for i, *row in licenses.embedded_notices(df).collect():
+        got[i].add(tuple(row))
+    for i, t in enumerate(texts):
+        assert got[i] == notices(t or ""), t
+    names = {i: sorted(x[2] for x in rows) for i, rows in got.items()}
+    assert names[0] == ["mit"] and names[1] == ["bsd"] and names[2] == ["cc-by-nc-4.0", "mit"] and names[3] == ["apache-2.0", "mit"]
+    assert licenses.embedded_notices(nothing).count() == 0
+
+
+def test_query_reports_embedded_notices(spark, tmp_path):
+    text = "This code is released under the MIT License. See the file for more.\nLicensed under CC BY 4.0."
+    spark.createDataFrame([(1, text), (1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = Counter((r["doc_id"], r["unit"], r["unit_no"], r["license"]) for r in licenses.op5_licenses(spark, str(tmp_path)).collect())
+    assert rows == {(1, "line", 1, "cc-by-4.0"): 2, (1, "notice", 3, "mit"): 2}
+
+
 def test_mix_deviation_and_rows(spark, docs, nothing):
     rows, df = docs
     got = mixing.mix_sources(df, block=500).collect()
