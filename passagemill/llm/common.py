@@ -49,10 +49,13 @@ def unused(df: DataFrame, name: str) -> str:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (tests on one machine) a folder of the warehouse is used.
+    Only where that is unset, on one machine, a folder of the warehouse is used; a cluster without
+    a shared folder is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = spark.conf.get("spark.sql.warehouse.dir") + "/_passagemill"
     return base.rstrip("/")
 
@@ -63,7 +66,32 @@ def hold(df: DataFrame) -> DataFrame:
     What a lost executor held is computed again from the input; nothing else depends on it. For
     tables that one operator reads several times; loops cut their lineage by :func:`materialise`.
     """
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    held.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+    return df
+
+
+#: Tables kept by :func:`hold`, and folders written by :func:`materialise`, for :func:`release`.
+held: list[DataFrame] = []
+written: list[str] = []
+
+
+def release(spark: SparkSession, keep: list[str] = ()) -> None:
+    """Free the tables held and the folders written so far, but those of ``keep``.
+
+    For a caller that has stored its result: what is freed can't be read any more.
+    """
+    while held:
+        held.pop().unpersist()
+    for path in [x for x in written if x not in keep]:
+        discard(spark, path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a folder that :func:`materialise` wrote."""
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    written.remove(path)
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -74,4 +102,5 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/passagemill-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    written.append(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -13,9 +13,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.arrays import before, gather
 from .common import let, table, unused
 
-SPAN = "array<struct<kind:string,start:int,end:int,score:double>>"
+ONE = "struct<kind:string,start:int,end:int,score:double>"
+SPAN = f"array<{ONE}>"
 #: Characters before and after a span in which context words count.
 CONTEXT = 40
 
@@ -126,10 +128,10 @@ def _needs(text: Column, need: str) -> Column:
     return F.contains(text, F.lit({"at": "@", "plus": "+"}[need]))
 
 
-def _score(kind: Kind, before: Column, after: Column) -> Column:
+def _score(kind: Kind, ahead: Column, after: Column) -> Column:
     if not kind.words:
         return F.lit(kind.base)
-    near = F.lower(F.concat(F.right(before, F.lit(CONTEXT)), F.lit(" "), F.left(after, F.lit(CONTEXT)))).rlike(rf"\b(?:{kind.words})")
+    near = F.lower(F.concat(F.right(ahead, F.lit(CONTEXT)), F.lit(" "), F.left(after, F.lit(CONTEXT)))).rlike(rf"\b(?:{kind.words})")
     return F.when(near, F.least(F.lit(1.0), F.lit(kind.base + 0.3))).otherwise(F.lit(kind.base))
 
 
@@ -147,72 +149,69 @@ def _iban(head: Column) -> Column:
 
 def _iban_spans(text: Column, kind: Kind) -> Column:
     """All IBANs, in order. The pattern gives the places where one may begin; one that begins inside another is none."""
-    empty = F.array().cast(SPAN)
     # A head holds an IBAN with a space before each character, and its context. Each place is four characters and a gap.
     size = 2 * max(IBAN_RANGE) + CONTEXT
 
-    def found(gaps: Column, matches: Column) -> Column:
-        def head(i: Column) -> Column:
-            ahead = F.sequence(i, F.least(i + size // 5, F.size(matches) - 1))
-            return F.left(F.array_join(F.transform(ahead, lambda j: F.concat(matches[j], F.left(gaps[j + 1], F.lit(size)))), ""), F.lit(size))
-
-        def step(acc, i):
-            start = acc["pos"] + F.length(gaps[i])
-            before = F.right(F.concat(acc["tail"], gaps[i]), F.lit(CONTEXT))
-
-            def taken(h: Column, m: Column) -> Column:
-                end = start + F.length(m)
-                sure = _score(kind, before, F.substr(h, F.length(m) + 1))
-                span = F.array(F.struct(F.lit(kind.name).alias("kind"), start.alias("start"), end.alias("end"), sure.alias("score"))).cast(SPAN)
-                keep = m.isNotNull() & (start >= acc["until"]) & (sure >= kind.least)
-                return F.struct(
-                    (start + F.length(matches[i])).alias("pos"),
-                    F.when(keep, end).otherwise(acc["until"]).alias("until"),
-                    F.right(F.concat(before, matches[i]), F.lit(CONTEXT)).alias("tail"),
-                    F.concat(acc["out"], F.when(keep, span).otherwise(empty)).alias("out"),
-                )
-
-            return let(head(i), lambda h: let(_iban(h), lambda m: taken(h, m)))
-
-        zero = F.struct(F.lit(0).alias("pos"), F.lit(0).alias("until"), F.lit("").alias("tail"), empty.alias("out"))
-        return F.when(
-            F.size(matches) > 0,
-            F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), zero, step, lambda acc: acc["out"]),
-        ).otherwise(empty)
+    def found(gaps: Column, matches: Column, starts: Column) -> Column:
+        def ahead(i: Column) -> Column:
+            last = F.least(i + size // 5, F.size(matches) - 1)
+            return F.array_join(F.transform(F.sequence(i, last), lambda j: F.concat(matches[j], F.left(gaps[j + 1], F.lit(size)))), "")
+
+        def lead(i: Column) -> Column:
+            """What stands before the place, as far as context reaches."""
+            first = F.greatest(i - CONTEXT // 4, F.lit(0))
+            earlier = F.transform(F.sequence(first, i), lambda j: F.concat(F.when(j > first, matches[j - 1]).otherwise(F.lit("")), F.right(gaps[j], F.lit(CONTEXT))))
+            return F.right(F.array_join(earlier, ""), F.lit(CONTEXT))
+
+        def span(i: Column) -> Column:
+            def ended(h: Column, m: Column) -> Column:
+                return _span(kind, starts[i], starts[i] + F.length(m), _score(kind, lead(i), F.substr(h, F.length(m) + 1)), m.isNotNull())
+
+            return let(F.left(ahead(i), F.lit(size)), lambda h: let(_iban(h), lambda m: ended(h, m)))
+
+        def apart(until: Column, s: Column) -> tuple[Column, Column]:
+            free = s["start"] >= until
+            return F.when(free, s["end"]).otherwise(until), F.when(free, F.array(s)).otherwise(F.array().cast(SPAN))
+
+        every = F.transform(F.sequence(F.lit(0), F.size(matches) - 1), span)
+        return gather(_kept(every, kind), F.lit(0), apart, ONE)
 
     return _matched(text, kind, found)
 
 
-def _matched(text: Column, kind: Kind, found: Callable[[Column, Column], Column]) -> Column:
-    """``found(gaps, matches)`` of the kind's pattern; no spans where the text cannot have a match."""
-    pattern = kind.pattern
-    spans = let(F.split(text, pattern, -1), lambda gaps: let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda ms: found(gaps, ms)))
-    return F.when(_needs(text, kind.need), spans).otherwise(F.array().cast(SPAN))
+def _span(kind: Kind, start: Column, end: Column, sure: Column, valid: Column) -> Column:
+    return F.struct(F.lit(kind.name).alias("kind"), start.cast("int").alias("start"), end.cast("int").alias("end"), sure.alias("score"), valid.alias("valid"))
+
+
+def _kept(spans: Column, kind: Kind) -> Column:
+    good = F.filter(spans, lambda s: s["valid"] & (s["score"] >= kind.least))
+    return F.transform(good, lambda s: F.struct(*[s[x].alias(x) for x in ("kind", "start", "end", "score")])).cast(SPAN)
+
+
+def _matched(text: Column, kind: Kind, found: Callable[[Column, Column, Column], Column]) -> Column:
+    """``found(gaps, matches, starts)`` of the kind's pattern; no spans where the text cannot have a match."""
+    pattern, none = kind.pattern, F.array().cast(SPAN)
+
+    def placed(gaps: Column, matches: Column) -> Column:
+        # A match starts where its gap ends: after all earlier gaps and matches.
+        sizes = F.transform(gaps, lambda g, i: (F.length(g) + F.coalesce(F.length(F.get(matches, i)), F.lit(0))).cast("long"))
+        starts = lambda sums: F.transform(matches, lambda m, i: sums[i] + F.length(gaps[i]))
+        return F.when(F.size(matches) > 0, let(let(before(sizes), starts), lambda at: found(gaps, matches, at))).otherwise(none)
+
+    spans = let(F.split(text, pattern, -1), lambda gaps: let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda ms: placed(gaps, ms)))
+    return F.when(_needs(text, kind.need), spans).otherwise(none)
 
 
 def _spans(text: Column, kind: Kind) -> Column:
     """All valid spans of one kind, in order."""
     if kind.check == "iban":
         return _iban_spans(text, kind)
-    empty = F.array().cast(SPAN)
-
-    def found(gaps: Column, matches: Column) -> Column:
-        def step(acc, i):
-            gap, match = gaps[i], matches[i]
-            start = acc["pos"] + F.length(gap)
-            end = start + F.length(match)
-            sure = _score(kind, gap, gaps[i + 1])
-            span = F.array(F.struct(F.lit(kind.name).alias("kind"), start.alias("start"), end.alias("end"), sure.alias("score"))).cast(SPAN)
-            keep = _valid(kind.check, match)
-            if kind.least:
-                keep = keep & (sure >= kind.least)
-            return F.struct(end.alias("pos"), F.concat(acc["out"], F.when(keep, span).otherwise(empty)).alias("out"))
-
-        zero = F.struct(F.lit(0).alias("pos"), empty.alias("out"))
-        return F.when(
-            F.size(matches) > 0,
-            F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), zero, step, lambda acc: acc["out"]),
-        ).otherwise(empty)
+
+    def found(gaps: Column, matches: Column, starts: Column) -> Column:
+        def span(match: Column, i: Column) -> Column:
+            return _span(kind, starts[i], starts[i] + F.length(match), _score(kind, gaps[i], gaps[i + 1]), _valid(kind.check, match))
+
+        return _kept(F.transform(matches, span), kind)
 
     return _matched(text, kind, found)
 
@@ -243,19 +242,13 @@ def redact(docs: DataFrame) -> DataFrame:
         F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("until"), s["kind"].alias("kind")))
     )
 
-    def step(acc, s):
+    def step(pos, s):
         start, end = s["start"], -s["until"]
-        piece = F.when(
-            start >= acc["pos"],
-            F.concat(acc["out"], F.array(F.substr("text", acc["pos"] + 1, start - acc["pos"]), F.concat(F.lit("["), s["kind"], F.lit("]")))),
-        ).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["pos"], end).alias("pos"), piece.alias("out"))
-
-    zero = F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("out"))
-    clean = F.aggregate(
-        ordered, zero, step,
-        lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr("text", acc["pos"] + 1, F.length("text"))),
-    )
+        pieces = F.array(F.substr("text", pos + 1, start - pos), F.concat(F.lit("["), s["kind"], F.lit("]")))
+        return F.greatest(pos, end), F.when(start >= pos, pieces).otherwise(F.array().cast("array<string>"))
+
+    rest = F.substr("text", F.array_max(F.transform(spans, lambda s: s["end"])) + 1, F.length("text"))
+    clean = F.concat(F.array_join(gather(ordered, F.lit(0), step, "string"), ""), rest)
     touched = F.size(spans) > 0
     out = found.withColumn("text", F.when(touched, clean).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
