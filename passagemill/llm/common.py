@@ -87,7 +87,7 @@ def release(spark: SparkSession, keep: list[str] = ()) -> None:
 
 
 def discard(spark: SparkSession, path: str) -> None:
-    """Remove a folder that :func:`materialise` wrote."""
+    """Remove a folder that :func:`materialise` wrote, which is its table's ``stored``."""
     jvm = spark._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
@@ -103,4 +103,6 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/passagemill-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored = path
+    return out

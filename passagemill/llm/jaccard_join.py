@@ -13,7 +13,8 @@ pairs of sets that are left are intersected exactly.
 What comes out of a tree is a forest of verified links, never all pairs. It is
 run twice: a few bands first connect nearly all that belongs together, then the
 rest of the bands, only where a tree still spans several components. A tree of
-more than CROWD sets is split in blocks, every pair of which is traversed.
+more than CROWD sets is split in blocks, and pairs of blocks are traversed where
+their sets belong to different components.
 """
 
 from __future__ import annotations
@@ -24,10 +25,11 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .common import hold, materialise, table, unused
+from ..functions.arrays import before
+from ..functions.text import barrier
+from .common import discard, hold, materialise, table
 from .tokens import U, Words, grams, mix, slices, small
 
 SHINGLE = 5
@@ -42,7 +44,6 @@ CROWD = 2048
 LEAF = 16
 #: Rows of links or labels in one written file.
 FILE_ROWS = 500_000
-LAST = (1 << 63) - 1
 
 _RNG = np.random.default_rng(97)
 _FLIP = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
@@ -75,31 +76,36 @@ def shingle_sets(words: Words, size: int = SHINGLE) -> tuple[np.ndarray, np.ndar
 SKETCH_ROW = "did long, n long, s1 long, s2 long, bands array<long>"
 
 
-def _sketch_rows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+def _sketch_rows(batches: Iterator[pa.RecordBatch], size: int, prefix: int = 0) -> Iterator[pa.RecordBatch]:
+    """Size, fingerprint and keys of each set; with ``prefix``, the similarity in hundredths, its first shingles are its keys."""
     for batch in small(batches, 4096):
-        ids = batch.column("did").to_numpy()
         for words in slices(batch.column("text"), lower=True):
             h, bounds = shingle_sets(words, size)
             n = np.diff(bounds)
             full = np.flatnonzero(n)
             begin = bounds[:-1][full]
             s1, s2 = np.zeros(len(n), U), np.zeros(len(n), U)
+            many = n - -(-n * prefix // 100) + 1 if prefix else np.full(len(n), BANDS)
+            many = np.where(n > 0, many, 0)
             keys = np.zeros((len(full), BANDS), U)
             if len(full):
                 s1[full] = np.add.reduceat(mix(h + U(1)), begin)
                 s2[full] = np.bitwise_xor.reduceat(mix(h + U(2)), begin)
                 token = (h >> U(32)).astype(np.uint32)
-                for band in range(BANDS):
+                for band in range(0 if prefix else BANDS):
                     key = np.full(len(full), band + 1, U)
                     for j in range(band * ROWS, band * ROWS + ROWS):
                         low = np.minimum.reduceat((token ^ _FLIP[j]) * _TIMES[j], begin)
                         key = mix(key * U(0x2545F4914F6CDD1D) + low.astype(U))
                     keys[:, band] = key
+            if prefix:  # a set's shingles are in the order of their hashes
+                keys = h[np.arange(int(many.sum())) + np.repeat(bounds[:-1] - (np.cumsum(many) - many), many)]
             ends = np.zeros(len(n) + 1, np.int32)
-            ends[1:] = np.cumsum((n > 0) * BANDS)
+            ends[1:] = np.cumsum(many)
             bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel().view(np.int64)))
+            ids = batch.column("did").slice(words.rows.start, len(n))
             yield pa.record_batch(
-                [pa.array(ids[words.rows]), pa.array(n.astype(np.int64)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), bands], names=["did", "n", "s1", "s2", "bands"]
+                [ids, pa.array(n.astype(np.int64)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), bands], names=["did", "n", "s1", "s2", "bands"]
             )
 
 
@@ -219,27 +225,40 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column("did"), pa.array(packed, pa.binary())], names=["did", "packed"])
 
 
-def _links(members: DataFrame, pool: DataFrame, size: int, percent: int, whole: bool) -> DataFrame:
-    """Verified links ``(a, b)`` from trees given as ``(key, did, label, crowd)``.
+def _links(rows: DataFrame, pool: DataFrame, size: int, percent: int) -> DataFrame:
+    """Verified links ``(a, b)`` from trees given as ``(key, part, did, label)``."""
+    rows = rows.join(pool, "did").select("key", "part", "did", "label", "packed")
+    return rows.repartition("key", "part").sortWithinPartitions("key", "part", "did").mapInArrow(lambda it: _tree_links(it, size, percent), "a long, b long")
 
-    A tree of more than CROWD sets is split in blocks. With ``whole`` every pair of blocks is
-    traversed; without, each block alone, which is enough to connect most of a large group.
+
+def _alone(members: DataFrame) -> DataFrame:
+    """Trees of ``(key, did, crowd)`` in blocks of about CROWD sets, each alone: enough to connect most of a large group."""
+    block = F.pmod(F.xxhash64("did", "key"), F.ceil(F.col("crowd") / CROWD))
+    return members.select("key", block.cast("long").alias("part"), "did", F.col("did").alias("label"))
+
+
+def _crossed(members: DataFrame) -> DataFrame:
+    """Trees of ``(key, did, label)`` in blocks of about CROWD sets, each with every other it may have a new link to.
+
+    The sets of a label that fills blocks have blocks of their own, which never meet one another:
+    sets of one label are connected already. So a large component meets the strangers among it
+    and nothing else, and a tree whose sets have all one label is left out.
     """
-    blocks = F.ceil(F.col("crowd") / CROWD).cast("int")
-    block = F.pmod(F.xxhash64("did", "key"), blocks).cast("int")
-    members = members.withColumns({"blocks": blocks, "block": block})
-    if whole:
-        ends = F.transform(
-            F.sequence(F.lit(0), F.col("blocks") - 1),
-            lambda o: (F.least("block", o).cast("long") * F.col("blocks") + F.greatest("block", o)).cast("long"),
-        )
-        members = members.withColumn("part", F.explode(ends))
-    else:
-        members = members.withColumn("part", F.col("block").cast("long"))
-    rows = members.select("key", "part", "did", "label").join(pool, "did")
-    return rows.select("key", "part", "did", "label", "packed").repartition("key", "part").sortWithinPartitions("key", "part", "did").mapInArrow(
-        lambda it: _tree_links(it, size, percent), "a long, b long"
+    sizes = members.groupBy("key", "label").agg(F.count("*").alias("n"))
+    large = F.when(F.col("n") >= CROWD, F.struct("label", F.ceil(F.col("n") / CROWD).cast("long").alias("n")))
+    keys = sizes.groupBy("key").agg(
+        F.count("*").alias("labels"), F.ceil(F.sum(F.when(F.col("n") < CROWD, F.col("n")).otherwise(0)) / CROWD).alias("mixed"), F.sort_array(F.collect_list(large)).alias("large")
     )
+    keys = keys.where("labels > 1").withColumn("firsts", barrier(before(F.transform("large", lambda x: x["n"]))))
+    blocks = F.col("mixed") + F.aggregate("large", F.lit(0).cast("long"), lambda acc, x: acc + x["n"])
+    own = F.filter(F.arrays_zip("large", "firsts"), lambda x: x["large"]["label"] == F.col("label"))
+    rows = members.join(keys.withColumn("blocks", blocks), "key").withColumn("own", F.get(own, 0))
+    first, count = F.col("mixed") + F.col("own.firsts"), F.col("own.large.n")
+    block = F.pmod(F.xxhash64("did", "key"), F.coalesce(count, F.col("mixed"))) + F.coalesce(first, F.lit(0))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.col("own").isNull() | (o < first) | (o >= first + count))
+    rows = rows.withColumn("block", block)
+    parts = F.transform(others, lambda o: F.least("block", o) * F.col("blocks") + F.greatest("block", o))
+    return rows.select("key", F.explode(parts).alias("part"), "did", "label")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -249,84 +268,100 @@ def components(links: DataFrame) -> DataFrame:
     crosses. A round's tables are written, in as many files as they need, which cuts the lineage.
     """
     way = lambda x, y: F.struct(F.col(x).alias("node"), F.col(y).alias("other"))
+    spark = links.sparkSession
     both = hold(links.select(F.inline(F.array(way("a", "b"), way("b", "a")))).distinct())
     files = 1 + both.count() // FILE_ROWS
-    both = materialise(both.coalesce(files), "links")
-    labels = both.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("comp"))
+    both, held_both = materialise(both.coalesce(files), "links"), both
+    held_both.unpersist()
+    labels, old = both.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("comp")), []
     while True:
         labels = materialise(labels.coalesce(files), "labels")
         there = labels.select(F.col("node").alias("other"), F.col("comp").alias("beyond"))
         crossing = both.join(labels, "node").join(there, "other").where("comp > beyond")
         moves = materialise(crossing.groupBy("comp").agg(F.min("beyond").alias("to")).coalesce(files), "moves")
+        for path in old:
+            discard(spark, path)
+        old = [labels.stored, moves.stored]
         if moves.isEmpty():
+            discard(spark, moves.stored)
+            discard(spark, both.stored)
             return labels
         onward = moves.select(F.col("comp").alias("to"), F.col("to").alias("on"))
         hops = moves.join(onward, "to", "left").select("comp", F.coalesce("on", "to").alias("to"))
         labels = labels.join(hops, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
 
 
-def jaccard_classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def _split(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join on ``on`` whose sides are both exchanged for it, so that a hot key is split at run time."""
+    fresh = F.xxhash64(*on).alias("fresh")
+    return left.select("*", fresh).join(right.select("*", fresh), ["fresh", *on], how).drop("fresh")
+
+
+def jaccard_classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, exact: bool = False) -> DataFrame:
     """Per row of ``docs(doc_id, text)``: doc_id, n_shingles and component_id.
 
     component_id is the smallest doc_id that links of at least ``percent`` hundredths reach, the
     document itself included. Null and blank texts have no shingles and are linked with nothing; a
     text of fewer than ``size`` words is one shingle. Rows with one doc_id are one document of
-    several texts. A null doc_id comes last, and is null in the result. Other columns are ignored;
-    an empty table gives an empty one.
+    several texts. A row without a doc_id is linked with nothing and its component_id is null. The
+    doc_id is a whole number or a string of digits. Other columns are ignored; an empty table
+    gives an empty one.
+
+    With ``exact`` sets meet where they share one of the shingles of least hash that any two so
+    alike must share, instead of by bands: nothing is missed, at the cost of larger trees.
     """
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("did"), "text")
-    sketch = hold(docs.mapInArrow(lambda it: _sketch_rows(it, size), SKETCH_ROW))
-    classes = hold(sketch.where("n > 0").groupBy("s1", "s2").agg(F.min("did").alias("rep"), F.first("bands").alias("bands")))
-
-    by_key = Window.partitionBy("key")
-    dealt = classes.select(F.col("rep").alias("did"), F.posexplode("bands").alias("band", "key"))
-    members = (
-        dealt.select("key", "did", (F.col("band") < EARLY).alias("early"))
-        .withColumns({"lo": F.min("did").over(by_key), "hi": F.max("did").over(by_key), "crowd": F.count("*").over(by_key)})
-        .where("lo < hi")
-        .select("key", "did", "early", "crowd")
-    )
-    members = hold(members)
+    docs = docs.select(F.col("doc_id").cast("long").alias("did"), "text")
+    sketch = hold(docs.mapInArrow(lambda it: _sketch_rows(it, size, percent if exact else 0), SKETCH_ROW))
+    linked = sketch.where("n > 0 and did is not null")
+    classes = hold(linked.groupBy("s1", "s2").agg(F.min("did").alias("rep"), F.first("bands").alias("bands")))
+
+    dealt = classes.select(F.col("rep").alias("did"), F.posexplode("bands").alias("band", "key")).select("key", "did", (F.col("band") < EARLY).alias("early"))
+    crowds = dealt.groupBy("key").agg(F.min("did").alias("lo"), F.max("did").alias("hi"), F.count("*").alias("crowd")).where("lo < hi")
+    members = hold(dealt.join(crowds.select("key", "crowd"), "key"))
     needed = members.select("did").distinct()
-    pool = hold(docs.mapInArrow(_pack, "did long, packed binary").join(needed, "did", "left_semi"))
+    pool = hold(docs.where("did is not null").mapInArrow(_pack, "did long, packed binary").join(needed, "did", "left_semi"))
 
     # Rows of one doc_id in several classes tie those together.
-    held = sketch.where("n > 0").join(classes.select("s1", "s2", "rep"), ["s1", "s2"]).select("did", "n", "s1", "s2", "rep")
-    least = held.groupBy("did").agg(F.min("rep").alias("a"), F.max("rep").alias("top")).where("a < top")
-    ties = held.join(least, "did").where("rep > a").select("a", F.col("rep").alias("b")).distinct()
+    reps = _split(linked.select("did", "n", "s1", "s2"), classes.select("s1", "s2", "rep"), ["s1", "s2"]).select("did", "n", "rep")
+    least = reps.groupBy("did").agg(F.min("rep").alias("a"), F.max("rep").alias("top")).where("a < top")
+    ties = reps.join(least, "did").where("rep > a").select("a", F.col("rep").alias("b")).distinct()
 
     files = 1 + members.count() // FILE_ROWS
-    first = _links(members.where("early").withColumn("label", F.col("did")), pool, size, percent, whole=False).unionByName(ties)
+    first = _links(_alone(members.where("early")), pool, size, percent).unionByName(ties)
     first = materialise(first.repartition(files), "first")
     labels = components(first)
     known = members.join(labels.withColumnRenamed("node", "did"), "did", "left").withColumn("label", F.coalesce("comp", "did"))
-    open_ = (
-        known.withColumns({"lo": F.min("label").over(by_key), "hi": F.max("label").over(by_key)})
-        .where(f"lo < hi and (not early or crowd > {CROWD})")
-        .select("key", "did", "label", "crowd")
-    )
-    second = _links(open_, pool, size, percent, whole=True)
+    # A tree in one block has been traversed whole.
+    second = _links(_crossed(known.where(f"not early or crowd > {CROWD}").select("key", "did", "label")), pool, size, percent)
     final = components(first.unionByName(second)).withColumnRenamed("node", "rep")
+    for table_ in (members, pool):
+        table_.unpersist()
+    for path in (first.stored, labels.stored):
+        discard(docs.sparkSession, path)
 
-    reps = sketch.join(classes.select("s1", "s2", "rep"), ["s1", "s2"], "left").select("did", "n", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("did")).alias("rep"))
-    null = lambda c: F.nullif(c, F.lit(LAST))
-    return reps.join(final, "rep", "left").select(
-        null(F.col("did")).alias("doc_id"), F.col("n").alias("n_shingles"), null(F.coalesce("comp", "rep")).alias("component_id")
-    )
+    out = _split(reps, final, ["rep"], "left").select(F.col("did").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("comp", "rep").alias("component_id"))
+    rest = sketch.where("n = 0 or did is null").select(F.col("did").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("did").alias("component_id"))
+    return out.unionByName(rest)
 
 
 def keep_firsts(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one document of each group: the rows whose doc_id is their component's least.
 
-    Of several rows with one doc_id, one stays; rows without a doc_id all stay. All columns are
-    kept. The texts go through one exchange.
+    Rows with one doc_id are one document of several texts, which all stay or all go; of rows that
+    have doc_id and text in common one stays, the least by all columns. Rows without a doc_id all
+    stay. All columns are kept. The texts go through one exchange; those with repeated ids through another.
     """
-    rank = unused(docs, "rank")
     classes = jaccard_classes(docs.select("doc_id", "text"), size, percent)
-    dropped = classes.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(dropped, "doc_id", "left_anti")
-    turn = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.md5(F.col("text").cast("binary"))))
-    return kept.withColumn(rank, turn).where((F.col(rank) == 1) | F.col("doc_id").isNull()).drop(rank)
+    ids = hold(classes.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("doc_id") != F.col("component_id")).alias("later"), F.count("*").alias("n")))
+    ids = ids.where("later or n > 1").withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
+    unnamed = docs.where(F.col("doc_id").isNull())
+    kept = docs.where(F.col("doc_id").isNotNull()).join(ids.select("doc_id"), "doc_id", "left_anti").select(*docs.columns).unionByName(unnamed)
+    repeated = ids.where("not later").select("doc_id")
+    if repeated.isEmpty():
+        return kept
+    several = docs.join(repeated, "doc_id", "left_semi").select(F.struct(*docs.columns).alias("row"))
+    one = several.groupBy(F.col("row.doc_id").alias("d"), F.md5(F.col("row.text").cast("binary")).alias("t")).agg(F.min("row").alias("row"))
+    return kept.unionByName(one.select(*[F.col("row").getField(x).alias(x) for x in docs.columns]))
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

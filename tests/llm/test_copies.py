@@ -97,7 +97,45 @@ def test_similarity_classes(spark, seed):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
     kept = jaccard_join.keep_firsts(corpus.frame(spark, rows))
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, (_, c) in want.items() if i == c)
-    assert "rank" in kept.columns and kept.count() == len({r["doc_id"] for r in kept.collect()})
+    assert "rank" in kept.columns and kept.columns == corpus.frame(spark, rows).columns
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_exact_mode(spark, seed):
+    rows = corpus.documents(seed, 90)
+    got = jaccard_join.jaccard_classes(corpus.frame(spark, rows), exact=True).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == classes(rows)
+
+
+def test_documents_without_an_id(spark):
+    """They tie nothing together, and stay."""
+    x, y = near_copies(1, 5, 0)[0], near_copies(1, 6, 0)[0]
+    rows = [(1, x, "", "", 0), (2, y, "", "", 0), (None, x, "", "", 0), (None, y, "", "", 0), (None, y, "", "", 0), (None, None, "", "", 0), (3, y, "", "", 0)]
+    got = sorted((tuple(r) for r in jaccard_join.jaccard_classes(corpus.frame(spark, rows)).collect()), key=repr)
+    n, m = len(shingles(x)), len(shingles(y))
+    assert got == sorted([(1, n, 1), (2, m, 2), (3, m, 2), (None, n, None), (None, m, None), (None, m, None), (None, 0, None)], key=repr)
+    kept = jaccard_join.keep_firsts(corpus.frame(spark, rows)).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept) == sorted([(1, x), (2, y), (0, x), (0, y), (0, y), (0, "")])
+
+
+def test_texts_of_one_id_all_stay(spark):
+    x, y, z = (near_copies(1, k, 0)[0] for k in (5, 6, 7))
+    rows = [(1, x, "b", "", 0), (1, y, "", "", 0), (1, x, "a", "", 0), (2, z, "", "", 0), (3, z, "", "", 0), (3, z, "", "", 0)]
+    kept = jaccard_join.keep_firsts(corpus.frame(spark, rows)).collect()
+    assert sorted((r["doc_id"], r["text"], r["lang"]) for r in kept) == sorted([(1, x, "a"), (1, y, ""), (2, z, "")])
+
+
+def test_strangers_meet_a_large_component_alone(spark, monkeypatch):
+    """Sets that are connected already don't meet again: rows sent follow the strangers, not the square of the crowd."""
+    monkeypatch.setattr(jaccard_join, "CROWD", 8)
+    rows = [(7, i, 0) for i in range(400)] + [(7, 1000, 1000), (7, 1001, 1001), (9, 1, 0), (9, 2, 0)]
+    sent = jaccard_join._crossed(spark.createDataFrame(rows, "key long, did long, label long")).collect()
+    met = {}
+    for r in sent:
+        met.setdefault((r["key"], r["part"]), set()).add(r["did"])
+    assert {k for k, _ in met} == {7} and len(sent) <= 400 + 2 * 51
+    pairs = {(min(a, b), max(a, b)) for m in met.values() for a in m for b in m if a != b}
+    assert pairs >= {(i, s) for i in range(400) for s in (1000, 1001)} | {(1000, 1001)}
 
 
 def near_copies(n, seed, edits):
