@@ -158,6 +158,50 @@ def test_planted_leaks(spark):
     assert {r["doc_id"] for r in clean.collect()} == {r[0] for r in rows} - {i for i, _ in got} | {500, 501}
 
 
+def test_brief_items(spark):
+    """A word that many texts hold is no leak; a brief item of rare words is one where it stands word by word."""
+    r = random.Random(4)
+    pool = ["alpha", "yes", "no", *(f"w{i}" for i in range(300))]
+    rows = [(i, " ".join(r.choice(pool[:12]) if r.random() < 0.4 else r.choice(pool) for _ in range(80)), "", "", 0) for i in range(30)]
+    rows[3] = (3, rows[3][1] + " zebra quagga OKAPI, no", "", "", 0)
+    rows[4] = (4, rows[4][1] + " zebra yes quagga yes okapi", "", "", 0)
+    bench = spark.createDataFrame([(1, "alpha"), (2, "yes"), (3, "Zebra quagga okapi!"), (4, "zebra")], "item_id long, text string")
+    df = corpus.frame(spark, rows)
+    assert {(x["doc_id"], x["item_id"]) for x in decontaminate.find_leaks(df, bench).collect()} == {(3, 3)}
+    assert decontaminate.drop_leaks(df, bench).count() == 29
+
+
+def test_ids_of_any_type(spark):
+    text = "some words of an item that is here and there in full"
+    docs = spark.createDataFrame([("a", text), (None, text), ("b", "none of it"), ("a", text)], "doc_id string, text string")
+    bench = spark.createDataFrame([("x", text), (None, text)], "item_id string, text string")
+    got = sorted(((r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, bench).collect()), key=repr)
+    assert got == sorted([(d, i) for d in ("a", "a", None) for i in ("x", None)], key=repr)
+
+
+def test_many_items_in_blocks_with_a_small_sample(spark, monkeypatch):
+    """3,000 items in blocks, a twentieth of the corpus spanning the space, a text repeated often: recall of paraphrases by the plan."""
+    monkeypatch.setattr(decontaminate, "ITEMS", 800)
+    monkeypatch.setattr(decontaminate, "SAMPLE", 60)
+    r = random.Random(12)
+    words = ["".join(r.choice("abcdefghij") for _ in range(r.randint(3, 8))) for _ in range(6000)]
+    word = lambda: words[int(r.random() ** 3 * len(words))]
+    items = [(k, " ".join(word() for _ in range(r.randint(12, 50)))) for k in range(3000)]
+    rows, want = [], set()
+    for i in range(800):
+        body = [word() for _ in range(r.randint(40, 300))]
+        if i % 2 == 0:
+            k = r.randrange(3000)
+            leak = [w for x in items[k][1].split() for w in ([word()] if r.random() < 0.12 else [x, word()] if r.random() < 0.08 else [x])]
+            at = r.randrange(len(body))
+            body[at:at] = leak
+            want.add((i, k))
+        rows.append((i, " ".join(body), "", "", 0))
+    rows += [(1000 + i, "one text that is there again and again " * 5, "", "", 0) for i in range(400)]
+    got = {(x["doc_id"], x["item_id"]) for x in decontaminate.find_leaks(corpus.frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert len(got & want) >= 0.95 * len(want) and len(got - want) <= 0.01 * len(want)
+
+
 def test_exact_leaks_in_given_tables(spark):
     """Against a search for every item in every text, case and punctuation aside."""
     plain = lambda t: " " + " ".join(re.findall(r"[^\W_]+", (t or "").lower())) + " "
