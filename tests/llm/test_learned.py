@@ -6,6 +6,7 @@ import re
 
 import corpus
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,16 +81,94 @@ def test_classifier_on_held_out_documents(spark):
     assert scored.count() == 1000 and scored.where("score < 0 or score > 1").count() == 0
 
 
+def loss(model, x, bag, y):
+    """Mean log loss, bag by bag in plain loops."""
+    p, total = model.parts, 0.0
+    for k in range(len(y)):
+        h = np.tanh(x[bag == k] @ p["w"] + p["b"])
+        e = [float((np.tanh(r @ p["v"]) / (1 + np.exp(-(r @ p["u"])))) @ p["g"]) for r in h]
+        a = np.exp(e) / np.sum(np.exp(e))
+        score = 1 / (1 + np.exp(-float((a @ h) @ p["c"] + p["d"][0])))
+        total -= y[k] * np.log(score) + (1 - y[k]) * np.log(1 - score)
+    return total / len(y)
+
+
 def test_classifier_gradient():
-    """Training lowers the loss, and attention weighs passages of one document to one."""
+    """Against finite differences of a loss written out in loops."""
+    rng = np.random.default_rng(1)
+    bag = np.array([0, 0, 0, 1, 2, 2, 3, 3, 3, 3])
+    x, y = rng.normal(size=(10, quality_model.N_FEATURES)), np.array([0.0, 1, 1, 0])
+    parts = quality_model.start(np.float64)
+    model = quality_model.Model(np.zeros(1), np.ones(1), parts)
+    grad = model.gradient(x, bag, y)
+    for name, w in parts.items():
+        for at in rng.integers(0, w.size, 12):
+            kept = w.flat[at]
+            w.flat[at] = kept + 1e-5
+            up = loss(model, x, bag, y)
+            w.flat[at] = kept - 1e-5
+            down = loss(model, x, bag, y)
+            w.flat[at] = kept
+            assert abs((up - down) / 2e-5 - grad[name].flat[at]) < 1e-7, name
+
+
+def test_classifier_training():
+    """Training finds what decides, and attention weighs passages of one document to one."""
     rng = np.random.default_rng(1)
     bag = np.repeat(np.arange(50), 4)
     x = rng.normal(size=(200, quality_model.N_FEATURES))
     y = (np.add.reduceat(x[:, 0], np.arange(0, 200, 4)) > 0).astype(float)
     model = quality_model.fit(x, bag, y)
-    f = model.forward(x, bag, 50)
+    f = model.forward(model.scaled(x), bag, 50)
     assert ((f["score"] >= 0.5) == y).mean() > 0.95
-    assert np.allclose(np.bincount(bag, f["a"]), 1)
+    assert np.allclose(np.bincount(bag, f["a"]), 1, atol=1e-5)
+
+
+def topics(seed, n, size=80):
+    """Documents that only their words tell apart: the same letters, lengths and marks."""
+    r = random.Random(seed)
+    words = ["".join(p) for p in ("abcdef", "abcdfe", "abcedf", "abcefd", "abcfde", "abcfed", "abdcef", "abdcfe", "abdecf", "abdefc", "abdfce", "abdfec")]
+    return [(i, " ".join(r.choice(words[6 * (i % 2) :][:6]) if r.random() < 0.7 else r.choice(words) for _ in range(size)), "", "", 0) for i in range(n)]
+
+
+def test_classifier_sees_words(spark):
+    rows = topics(1, 600)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i, *_ in rows], "doc_id long, quality int, toxic int")
+    df = corpus.frame(spark, rows)
+    model = quality_model.learn(df, labels)
+    got = {r["doc_id"]: r["score"] for r in quality_model.score_quality(df, model).collect()}
+    held = {r["doc_id"] for r in df.where(quality_model.held_out(F.col("doc_id"))).select("doc_id").collect()}
+    assert sum((got[i] >= 0.5) == i % 2 for i in held) > 0.95 * len(held) and len(held) > 100
+    scrambled = [(i, t.translate(str.maketrans("abcdef", "fabcde")), *x) for i, t, *x in rows[:20]]
+    other = {r["doc_id"]: r["score"] for r in quality_model.score_quality(corpus.frame(spark, scrambled), model).collect()}
+    assert sum(abs(other[i] - got[i]) > 0.05 for i in other) > 10
+
+
+def test_classifier_learns_from_long_documents(spark):
+    """What tells the classes apart is only in documents of more passages than are sampled."""
+    rows = topics(3, 60, quality_model.PASSAGE * (quality_model.MAX_TRAIN_PASSAGES + 20))
+    labels = spark.createDataFrame([(i, i % 2, 0) for i, *_ in rows], "doc_id long, quality int, toxic int")
+    df = corpus.frame(spark, rows)
+    got = quality_model.score_quality(df, quality_model.learn(df, labels)).collect()
+    assert sum((r["score"] >= 0.5) == r["doc_id"] % 2 for r in got) > 55
+
+
+def test_classifier_without_the_measures(spark, monkeypatch):
+    """Words alone say most of it, too."""
+    whole = quality_model.passages
+
+    def words_only(words):
+        x, doc = whole(words)
+        x[:, : quality_model.N_MEASURES] = 0
+        return x, doc
+
+    monkeypatch.setattr(quality_model, "passages", words_only)
+    docs, labels = (spark.read.parquet(f"{SF}/{x}.parquet") for x in ("documents", "labels"))
+    rows = docs.join(labels, "doc_id").select("doc_id", "text", "quality", quality_model.held_out(F.col("doc_id")).alias("h")).toPandas()
+    batch = lambda f: pa.RecordBatch.from_pandas(f, preserve_index=False)
+    bags = [(q, x) for b in quality_model._measured(iter([batch(rows[~rows.h])])) for q, x in zip(b["quality"].to_pylist(), b["x"].to_pylist())]
+    (scored,) = quality_model._scored(iter([batch(rows[rows.h])]), quality_model.fit_bags(bags))
+    assert ((np.array(scored["score"]) >= 0.5) == rows[rows.h].quality).mean() > 0.85
 
 
 def test_classifier_edge_cases(spark, docs, nothing):
