@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, table
+from .common import hold, let, table
 
 #: Fixed values: (verdict, host, path) of the rules; the longest that fits wins.
 RULES = [
@@ -20,14 +20,21 @@ RULES = [
     ("block", "example.com", "/de/"),
     ("allow", "org", "/fr/"),
 ]
-#: Names under which listed sites are registered.
+#: The default list, as fixed values: widely known advertising and tracking sites, and a few listed pages of sites that are
+#: fine as a whole. Callers bring their own list.
+LISTED = [
+    "doubleclick.net", "googlesyndication.com", "adnxs.com", "taboola.com", "outbrain.com", "criteo.com", "scorecardresearch.com",
+    "https://example.com/ads?id=1", "http://www.example.org/spam/", "example.net/tracking/pixel.gif",
+]
+#: Sites in the zones reserved for examples, so that the query has something to find in tables that use no others.
 LISTED_NAMES = ["ads-track", "free-bets", "cheap-pills", "spam-farm", "casino-win", "adult-x"]
 LISTED_ZONES = ["example.com", "example.net", "example.org"]
 #: Query parameters that do not change what a URL names.
 TRACKING = r"^(?:utm_[a-z]+|ref|gclid|fbclid)="
-#: Most blocks of the filter that are broadcast: 2**17 words of 8 bytes, 1 MB.
-MAX_BLOCKS = 1 << 17
-BITS = 4
+#: Blocks of the filter, 16 bytes a row, that are broadcast at most: 16 MB. A larger filter is joined by block.
+MAX_BLOCKS = 1 << 20
+#: Entries for a block of 64 bits, and bits that each sets.
+LOAD, BITS = 4, 4
 
 
 def host_of(url: Column) -> Column:
@@ -49,10 +56,20 @@ def canonical(url: Column) -> Column:
     return F.concat(host, path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise("/"))
 
 
+def canonical_entry(entry: Column) -> Column:
+    """What an entry of a list stands for: a URL, or one without its scheme, in the form of :func:`canonical`.
+
+    A bare host, ``host`` or ``host/``, is a whole site with its subdomains; anything with a path or a
+    query is that one page. Null and blank entries, and those without a host, are null.
+    """
+    flat = F.trim(entry)
+    found = canonical(F.when(F.contains(flat, F.lit("://")), flat).otherwise(F.concat(F.lit("http://"), flat)))
+    return F.when(~found.rlike("^[/?]") & (found != ""), found)
+
+
 def listed_sites(spark: SparkSession) -> DataFrame:
-    """The default list: whole sites, as ``host/``."""
-    rows = [(f"{name}.{zone}/",) for name in LISTED_NAMES for zone in LISTED_ZONES]
-    return spark.createDataFrame(rows, "entry string")
+    """The default list."""
+    return spark.createDataFrame([(x,) for x in LISTED + [f"{name}.{zone}" for name in LISTED_NAMES for zone in LISTED_ZONES]], "entry string")
 
 
 def _block(key: Column, blocks: int) -> Column:
@@ -84,16 +101,16 @@ def _rule_columns(host: Column, path: Column) -> tuple[Column, Column]:
 def url_filter(pages: DataFrame, listed: DataFrame) -> DataFrame:
     """Verdict for every row of ``pages(page_id, url)`` against ``listed(entry)``.
 
-    A null URL, or one without ``://``, has an empty host and path, fits no rule
-    and is allowed. Rows are kept one for one, repeated ids included; other
-    columns of ``pages`` are ignored. An empty list or table is fine.
+    Entries are in any of the forms of :func:`canonical_entry`. A null URL, or one without ``://``,
+    has an empty host and path, fits no rule and is allowed. Rows are kept one for one, repeated and
+    null ids included; other columns of ``pages`` are ignored. An empty list or table is fine.
 
-    Returns page_id, host, path, rule, verdict, listed (the entry hit, else null).
+    Returns page_id, host, path, rule, verdict, listed (the canonical entry hit, the longest if
+    several, else null).
     """
-    listed = listed.select("entry").where(F.col("entry").isNotNull()).distinct()
-    entries = listed.count()
-    # About 16 bits for each entry; at most MAX_BLOCKS, beyond which the filter only gets denser.
-    blocks = min(MAX_BLOCKS, max(64, entries // 4))
+    listed = hold(listed.select(canonical_entry(F.col("entry")).alias("entry")).where("entry is not null").distinct())
+    # 16 bits for each entry, however many there are.
+    blocks = max(64, -(-listed.count() // LOAD))
     host, path = F.col("host"), F.col("path")
     rule, verdict = _rule_columns(host, path)
     base = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
@@ -103,15 +120,12 @@ def url_filter(pages: DataFrame, listed: DataFrame) -> DataFrame:
     roots = let(labels, lambda a: F.transform(F.sequence(F.lit(1), F.size(a)), lambda i: F.concat(F.array_join(F.slice(a, i, F.size(a)), "."), F.lit("/"))))
     open_ = judged.where(F.col("rule").isNull() & (F.col("host") != ""))
     probes = open_.select("url", F.explode(F.array_distinct(F.array_union(F.array(canonical(F.col("url"))), roots))).alias("entry"))
-    # Blocks are at most MAX_BLOCKS rows of 16 bytes: a checked size, so they are broadcast.
-    hits = (
-        probes.select("url", "entry", _block(F.col("entry"), blocks).alias("block"), _mask(F.col("entry")).alias("mask"))
-        .join(F.broadcast(bloom(listed, blocks)), "block")
-        .where(F.col("word").bitwiseAND(F.col("mask")) == F.col("mask"))
-        .select("url", "entry")
-        .distinct()
-    )
-    exact = hits.join(listed, "entry").groupBy("url").agg(F.max_by("entry", F.length("entry")).alias("listed"))
+    probes = probes.select("url", "entry", _block(F.col("entry"), blocks).alias("block"), _mask(F.col("entry")).alias("mask"))
+    # Broadcast where its size, known here, allows it; else both sides are dealt by block, which is a hash, so evenly.
+    words = bloom(listed, blocks)
+    possible = probes.join(F.broadcast(words) if blocks <= MAX_BLOCKS else words, "block")
+    hits = possible.where(F.col("word").bitwiseAND(F.col("mask")) == F.col("mask")).select("url", "entry").distinct()
+    exact = hits.join(listed, "entry").groupBy("url").agg(F.max_by("entry", F.struct(F.length("entry"), "entry")).alias("listed"))
     return judged.join(exact, "url", "left").select(
         "page_id", "host", "path", "rule",
         F.coalesce("by_rule", F.when(F.col("listed").isNotNull(), "block").otherwise("allow")).alias("verdict"),
@@ -123,26 +137,40 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"), listed_sites(spark))
 
 
+def _canonical(url: str) -> str:
+    """The canonical form in SQL."""
+    host = f"translate(regexp_extract(coalesce({url}, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    host = f"regexp_replace(regexp_replace({host}, ':[0-9]*$', ''), '^www\\.', '')"
+    path = f"regexp_replace(regexp_extract(coalesce({url}, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1), '/+$', '')"
+    query = f"regexp_extract(coalesce({url}, ''), '(?s)^.*?://[^?#]*\\?([^#]*)', 1)"
+    kept = f"list_sort(list_filter(string_split({query}, '&'), lambda x: x <> '' AND NOT regexp_matches(x, '{TRACKING}')))"
+    return f"({host} || {path} || CASE WHEN len({kept}) > 0 THEN '?' || array_to_string({kept}, '&') ELSE '/' END)"
+
+
 _fits = "((host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}'))"
 _by_length = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
 OP9_SQL = f"""
 WITH parts AS (
-  SELECT page_id,
+  SELECT page_id, url,
          translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1),
                    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
   FROM pages),
-sites AS (
-  SELECT name || '.' || zone AS site
+entries AS (
+  SELECT unnest([{", ".join(f"'{x if '://' in x else 'http://' + x}'" for x in LISTED)}]) AS url
+  UNION ALL
+  SELECT 'http://' || name || '.' || zone
   FROM (SELECT unnest([{", ".join(f"'{n}'" for n in LISTED_NAMES)}]) AS name),
        (SELECT unnest([{", ".join(f"'{z}'" for z in LISTED_ZONES)}]) AS zone)),
+listed AS (SELECT DISTINCT {_canonical("url")} AS entry FROM entries),
 ruled AS (
   SELECT *, CASE {" ".join(f"WHEN {_fits.format(h=h, p=p)} THEN '{h}{p}'" for _, h, p in _by_length)} END AS rule,
          CASE {" ".join(f"WHEN {_fits.format(h=h, p=p)} THEN '{v}'" for v, h, p in _by_length)} END AS by_rule,
-         regexp_replace(host, ':[0-9]*$', '') AS bare
+         regexp_replace(host, ':[0-9]*$', '') AS bare, {_canonical("url")} AS canon
   FROM parts),
 hit AS (
-  SELECT r.*, (SELECT max(site) || '/' FROM sites s WHERE r.bare = s.site OR ends_with(r.bare, '.' || s.site)) AS found
+  SELECT r.*, CASE WHEN host <> '' THEN (SELECT arg_max(entry, (length(entry), entry)) FROM listed l
+                   WHERE l.entry = r.canon OR l.entry = bare || '/' OR ends_with('.' || bare || '/', '.' || l.entry)) END AS found
   FROM ruled r)
 SELECT page_id, host, path, rule,
        coalesce(by_rule, CASE WHEN found IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict,

@@ -189,6 +189,45 @@ def test_urls(spark):
     assert {r["verdict"] for r in url_filter.url_filter(pages, listed.limit(0)).where("rule is null").collect()} == {"allow"}
 
 
+def test_forms_of_entries(spark):
+    """Entries mean the same with and without scheme, www., port, tracking parameters and last slash."""
+    pages = ["http://www.listed.io/a?utm_source=1", "https://listed.io/a/#x", "http://m.listed.io/a", "http://listed.io/b", "http://listed.io/", "http://m.site.org/x?y", "http://xsite.org/", "http://q.io/?b=2&a=1"]
+    df = spark.createDataFrame(list(enumerate(pages)), "page_id long, url string")
+    for entry, hit in {
+        "http://www.listed.io/a": {0, 1}, "listed.io/a": {0, 1}, "LISTED.io/a/": {0, 1}, "https://listed.io:443/a?ref=x": {0, 1}, " listed.io/a ": {0, 1}, "listed.io/A": set(),
+        "listed.io": {0, 1, 2, 3, 4}, "http://listed.io/": {0, 1, 2, 3, 4}, "site.org": {5}, "m.site.org/": {5}, "m.site.org/x": set(), "q.io?a=1&b=2": {7}, "": set(), "/a": set(), "http://": set(),
+    }.items():
+        got = url_filter.url_filter(df, spark.createDataFrame([(entry,)], "entry string")).where("listed is not null").collect()
+        assert {r["page_id"] for r in got} == hit, entry
+
+
+def test_listed_pages_as_in_sql(spark, tmp_path):
+    import duckdb
+
+    urls = ["https://www.example.com/ads/?utm_source=1&id=1", "http://example.com/ads?id=2", "http://EXAMPLE.org:80/spam", "http://m.example.org/spam", "https://example.net/tracking/pixel.gif#x", "http://a.b.doubleclick.net/x",
+            "http://a.criteo.com/en", "http://notcriteo.com/", "https://x.casino-win.example.com/q?a=1", "http:///x", "criteo.com", None]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    columns = ["page_id", "host", "path", "rule", "verdict", "listed"]
+    want = con.sql(f"SELECT {', '.join(columns)} FROM ({url_filter.OP9_SQL})").fetchall()
+    got = [tuple(r) for r in url_filter.op9_url_filter(spark, str(tmp_path)).select(*columns).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr) and {r[0] for r in got if r[5]} == {0, 2, 6, 8}
+
+
+def test_filter_of_a_long_list(spark, monkeypatch):
+    """Too large to broadcast, it is joined by block, with the same result and as few false hits."""
+    monkeypatch.setattr(url_filter, "MAX_BLOCKS", 64)
+    listed = spark.range(40_000).select(F.concat(F.lit("http://site"), "id", F.lit(".example/p?x=1")).alias("entry"))
+    pages = spark.range(0, 80_000, 7).select(F.col("id").alias("page_id"), F.concat(F.lit("https://www.site"), "id", F.lit(".example/p/?x=1")).alias("url"))
+    blocked = {r["page_id"] for r in url_filter.url_filter(pages, listed).where("verdict = 'block'").collect()}
+    assert blocked == set(range(0, 40_000, 7))
+    words = url_filter.bloom(listed.select(url_filter.canonical_entry(F.col("entry")).alias("entry")), 10_000)
+    probes = spark.range(50_000, 60_000).select(F.concat(F.lit("other"), "id", F.lit("/")).alias("entry"))
+    probes = probes.select(url_filter._block(F.col("entry"), 10_000).alias("block"), url_filter._mask(F.col("entry")).alias("mask"))
+    assert probes.join(words, "block").where("word & mask = mask").count() < 500
+
+
 def test_bloom_has_no_false_negatives(spark):
     listed = spark.range(3000).select(F.concat(F.lit("site"), "id", F.lit("/")).alias("entry"))
     pages = spark.range(6000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://site"), "id", F.lit("/x")).alias("url"))
