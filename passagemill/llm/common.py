@@ -75,14 +75,14 @@ held: list[DataFrame] = []
 written: list[str] = []
 
 
-def release(spark: SparkSession, keep: list[str] = ()) -> None:
-    """Free the tables held and the folders written so far, but those of ``keep``.
+def release(spark: SparkSession, tables: int, folders: int, keep: str) -> None:
+    """Free what was held and written after the first so many tables and folders, but for one folder.
 
     For a caller that has stored its result: what is freed can't be read any more.
     """
-    while held:
+    while len(held) > tables:
         held.pop().unpersist()
-    for path in [x for x in written if x not in keep]:
+    for path in [x for x in written[folders:] if x != keep]:
         discard(spark, path)
 
 

@@ -16,13 +16,16 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, hold, let, strip_chars, table, words_of
+from ..functions.text import barrier
+from .common import SPACES, hold, let, materialise, strip_chars, table, unused, words_of
 
 SYMBOLS = "#*$%&|<>"
 #: Frequent function words of English, German, French and Spanish.
 FUNCTION_WORDS = ["the", "of", "and", "to", "der", "die", "und", "in", "de", "la", "le", "et", "que", "el", "en", "los"]
+#: What a sentence, and so most lines of prose, ends with.
+ENDINGS = list(".!?…\"”»)。！？")
 WINDOW = 5
-RULES = ["length", "symbols", "bangs", "repeats", "dup_lines", "word_length", "function_words", "case", "junk"]
+RULES = ["length", "symbols", "bangs", "repeats", "dup_lines", "word_length", "function_words", "case", "digits", "endings"]
 ROUNDS = 50
 PRIOR_GOOD = 0.8
 
@@ -53,22 +56,28 @@ def measures(text: Column) -> Column:
     """All that the rules need of one text, as a struct; null counts as empty."""
     flat = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(flat, "\n", -1), lambda x: strip_chars(x, SPACES) != "")
+    ended = lambda x: F.right(F.rtrim(x), F.lit(1)).isin(*ENDINGS)
 
-    def counted(words: Column) -> Column:
+    kinds = lambda x: F.struct(F.size(x).alias("all"), F.size(F.array_distinct(x)).alias("own"), F.size(F.filter(x, ended)).alias("ended"))
+
+    def counted(words: Column, by_line: Column) -> Column:
         long = lambda c: c.cast("long")
         return F.struct(
             long(F.size(words)).alias("n_words"),
             long(F.length(strip_chars(flat, SPACES))).alias("word_chars"),
             long(F.length(flat) - F.length(strip_chars(flat, SYMBOLS))).alias("n_symbols"),
-            let(lines, lambda x: long(F.size(x) - F.size(F.array_distinct(x)))).alias("n_dup_lines"),
+            long(by_line["all"] - by_line["own"]).alias("n_dup_lines"),
+            long(by_line["all"]).alias("n_text_lines"),
+            long(by_line["ended"]).alias("n_ended"),
             long(_repeat_words(words)).alias("n_repeat_words"),
             long(F.length(flat) - F.length(F.replace(flat, F.lit("!"), F.lit("")))).alias("n_bangs"),
+            long(F.length(flat) - F.length(F.translate(flat, "0123456789", ""))).alias("n_digits"),
             long(F.length(flat) - F.length(F.replace(flat, F.lit("\n"), F.lit(""))) + 1).alias("n_lines"),
             long(F.size(F.array_intersect(words, F.array(*[F.lit(w) for w in FUNCTION_WORDS])))).alias("n_function"),
             ((F.upper(flat) == flat) & (F.lower(flat) != flat)).alias("all_upper"),
         )
 
-    return let(words_of(text), counted)
+    return let(let(lines, kinds), lambda by_line: let(words_of(text), lambda words: counted(words, by_line)))
 
 
 def votes(m: Column) -> list[Column]:
@@ -87,7 +96,8 @@ def votes(m: Column) -> list[Column]:
         vote((m["word_chars"] < n * 2) | (m["word_chars"] > n * 14), m["word_chars"].between(n * 3, n * 10)),
         vote((m["n_function"] == 0) & (n >= 100), m["n_function"] >= 2),
         vote(m["all_upper"], F.lit(False)),
-        vote(m["n_symbols"] * 4 > n, F.lit(False)),
+        vote(m["n_digits"] * 3 > m["word_chars"], m["n_digits"] * 20 <= m["word_chars"]),
+        vote(m["n_ended"] * 2 < m["n_text_lines"], m["n_ended"] * 5 >= m["n_text_lines"] * 4),
     ]
 
 
@@ -99,11 +109,6 @@ def pattern(m: Column) -> Column:
     return out
 
 
-def pattern_of(text: Column) -> Column:
-    """The votes on a text, from measures that are computed once."""
-    return let(measures(text), pattern)
-
-
 def unpack(code: int, rules: int) -> list[int]:
     out = []
     for _ in range(rules):
@@ -118,10 +123,11 @@ def fit(counts: dict[int, int], rules: int = len(RULES), rounds: int = ROUNDS) -
     Expectation-maximisation of a two-class model in which rules vote independently given the
     class; an abstention says nothing. ``bad[y][j]`` is how often rule j, when it votes, votes bad
     on documents of class y. Pseudo-counts worth a tenth of the documents start the rules as
-    better than chance, which also fixes which class is the good one.
+    better than chance, which also fixes which class is the good one: a bad document is bad in one
+    way or two, so that a rule votes bad on one in eight of them, and on hardly any good one.
     """
     total = sum(counts.values())
-    strength, start = max(1.0, total / 10), {1: 0.005, 0: 0.25}
+    strength, start = max(1.0, total / 10), {1: 0.005, 0: 0.12}
     bad = {y: [start[y]] * rules for y in (0, 1)}
     prior, post = PRIOR_GOOD, {}
     seen = {c: unpack(c, rules) for c in sorted(counts)}
@@ -171,11 +177,17 @@ def judge(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that :func:`judge` keeps, with all their columns.
 
-    The measures are computed again rather than joined back, so the texts are never shuffled.
+    Each text is measured once: the rows are written with their vote patterns in the shared folder,
+    the patterns are counted there, and the rows are filtered as they are read again. The texts are
+    never shuffled.
     """
-    learned = posteriors(docs.select(pattern_of(F.col("text")).alias("pattern")))
+    votes_, failed = unused(docs, "votes"), unused(docs, "failed")
+    verdict = let(measures(F.col("text")), lambda m: F.struct(pattern(m).alias("p"), base_failed(m).alias("f")))
+    marked = docs.withColumn(votes_, barrier(verdict))
+    marked = materialise(marked.withColumns({failed: F.col(votes_)["f"], votes_: F.col(votes_)["p"]}), "votes")
+    learned = posteriors(marked.select(F.col(votes_).alias("pattern")))
     good = [r["pattern"] for r in learned.where("p_good >= 0.5").collect()]
-    return docs.where(let(measures(F.col("text")), lambda m: ~base_failed(m) & pattern(m).isin(good)))
+    return marked.where(~F.col(failed) & F.col(votes_).isin(good)).drop(votes_, failed)
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,6 +37,8 @@ def test_quality_measures(spark, docs, nothing):
     for i, t, *_ in rows:
         for r in got[i]:
             want = measured(t)
+            ends = [x.rstrip(" ")[-1:] in quality_rules.ENDINGS for x in (t or "").split("\n") if WORD.search(x)]
+            assert (r["n_text_lines"], r["n_ended"], r["n_digits"]) == (len(ends), sum(ends), len(re.findall("[0-9]", t or "")))
             assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == want
             assert r["base_failed"] == (want[0] < 10 or 100 * want[4] > 20 * want[0])
             assert not (r["kept"] and r["base_failed"])
@@ -46,6 +48,29 @@ def test_quality_measures(spark, docs, nothing):
     assert quality_rules.judge(nothing).count() == 0 and quality_rules.keep_good(nothing).count() == 0
 
 
+def test_posteriors_by_brute_force():
+    """One round of expectation-maximisation over single documents, in plain loops, leaves the fitted posteriors as they are."""
+    import math
+
+    r = random.Random(3)
+    docs = [r.choices([0, 8, 13, 26, 17, 24], [1, 2, 3, 20, 4, 5])[0] for _ in range(500)]
+    rules, counts = 3, dict(Counter(docs))
+    post = quality_rules.fit(counts, rules, 400)
+    votes = [quality_rules.unpack(c, rules) for c in docs]
+    weight, begin = len(docs) / 10, {1: 0.005, 0: 0.12}
+    good = [post[c] for c in docs]
+    prior = (sum(good) + 0.8 * weight) / (len(docs) + weight)
+    share = {}
+    for y in (1, 0):
+        for j in range(rules):
+            said = sum((g if y else 1 - g) for g, v in zip(good, votes) if v[j])
+            bad = sum((g if y else 1 - g) for g, v in zip(good, votes) if v[j] < 0)
+            share[y, j] = (bad + weight * begin[y]) / (said + weight)
+    for c, v in zip(docs, votes):
+        p = {y: (prior if y else 1 - prior) * math.prod(share[y, j] if x < 0 else 1 - share[y, j] for j, x in enumerate(v) if x) for y in (1, 0)}
+        assert abs(post[c] - p[1] / (p[1] + p[0])) < 1e-6
+
+
 def test_weak_supervision_finds_the_class():
     r = random.Random(1)
     counts, truth = Counter(), defaultdict(Counter)
