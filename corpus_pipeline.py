@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from passagemill.llm import decontaminate, jaccard_join, mixing, pii, quality_rules
-from passagemill.llm.common import materialise, table
+from passagemill.llm.common import held, materialise, release, table, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +33,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents' places in the training order."""
+    """All documents, texts and all, with their places in the training order."""
     return mixing.mix_sources(docs)
 
 
@@ -50,7 +50,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that all stages keep, as redacted, with block, slot and place.
+
+    What a stage held or wrote is freed when the next table is stored; the last one stays in the
+    shared folder, for the caller to read.
+    """
     docs = table(spark, sf_dir, "documents")
+    tables, folders = len(held), len(written)
     for name, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        release(spark, tables, folders, keep=docs.stored)
     return docs
