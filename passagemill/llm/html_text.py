@@ -63,8 +63,12 @@ CLOSES = {
     "td": ({"td", "th"}, {"tr", "table"}),
     "th": ({"td", "th"}, {"tr", "table"}),
 }
-FEATURES = ["tag", "name", "own", "below", "links", "first"]
-SIZES = {"tag": len(TAGS) + 1, "name": len(NAMES) + 2, "own": 10, "below": 12, "links": 5, "first": 3}
+#: What only the small print says.
+LEGAL = re.compile(r"&copy;|©|&#169;|\bcopyright\b|all rights reserved", re.I)
+#: Tags that say what stands inside them, however deep.
+SECTIONS = ["article", "main", "aside", "nav", "header", "footer", "form", "address"]
+FEATURES = ["tag", "name", "own", "below", "links", "first", "share", "within", "inside", "legal"]
+SIZES = {"tag": len(TAGS) + 1, "name": len(NAMES) + 2, "own": 10, "below": 12, "links": 5, "first": 3, "share": 7, "within": len(NAMES) + 2, "inside": len(SECTIONS) + 1, "legal": 2}
 OFFSETS = dict(zip(FEATURES, np.cumsum([0, *SIZES.values()])[:-1].tolist()))
 WIDTH = sum(SIZES.values())
 
@@ -75,7 +79,7 @@ class Tree:
     def __init__(self, page: str):
         self.tag, self.parent, self.depth = ["html"], [0], [0]
         self.name, self.marks = [0], [""]
-        self.own, self.linked = [0], [0]
+        self.own, self.linked, self.legal = [0], [0], [0]
         self.blocks: list[tuple[int, str]] = []
         stack, run, at, link = [0], [], 0, False
 
@@ -83,6 +87,7 @@ class Tree:
             if raw:
                 run.append(raw)
                 n = len(raw.strip())
+                self.legal[stack[-1]] |= LEGAL.search(raw) is not None
                 self.own[stack[-1]] += n
                 if link:
                     self.linked[stack[-1]] += n
@@ -140,6 +145,7 @@ class Tree:
         self.marks.append(attributes)
         self.own.append(0)
         self.linked.append(0)
+        self.legal.append(0)
         stack.append(len(self.tag) - 1)
 
     def _close(self, stack: list[int], tag: str) -> None:
@@ -174,7 +180,17 @@ class Forest:
         first[0] = 0
         same = (self.parent[1:] == self.parent[:-1]) & (tags[1:] == tags[:-1])
         first[1:] = np.where(same, 2, np.where(self.parent[1:] == np.arange(n - 1), 0, 1))
-        columns = {"tag": tags, "name": flat("name"), "own": np.minimum(9, bits(own)), "below": np.minimum(11, bits(below)), "links": density, "first": first}
+        whole = np.repeat(np.maximum(1, below[self.starts]), sizes)
+        part = np.where(below > 0, 1 + np.minimum(5, np.floor(-np.log2(np.maximum(below, 1) / whole))).astype(np.int64), 0)
+        name = flat("name")
+        within = name.copy()  # the nearest name from the node upward
+        kinds = np.zeros(len(TAGS) + 1, np.int64)
+        kinds[[TAG[x] for x in SECTIONS]] = np.arange(1, len(SECTIONS) + 1)
+        inside = kinds[tags]  # and the nearest such tag
+        for idx in self.levels[1:]:
+            within[idx] = np.where(name[idx] > 0, name[idx], within[self.parent[idx]])
+            inside[idx] = np.where(inside[idx] > 0, inside[idx], inside[self.parent[idx]])
+        columns = {"legal": flat("legal"), "inside": inside, "share": part, "within": within, "tag": tags, "name": name, "own": np.minimum(9, bits(own)), "below": np.minimum(11, bits(below)), "links": density, "first": first}
         self.x = np.stack([columns[f] + OFFSETS[f] for f in FEATURES], axis=1)
 
     def marginals(self, node: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -197,79 +213,140 @@ class Forest:
 
 
 def labelled_pages(pages: int, seed: int) -> list[str]:
-    """Pages whose content elements carry ``data-y``, which no feature looks at."""
+    """Pages whose content elements carry ``data-y``, which no feature looks at.
+
+    Layouts: article, main, named and plain divs, nested sections, layout tables, text right in the
+    body; with and without menus, headers, footers; notices, adverts, asides, forms, share boxes
+    and reader comments before, in and after the text; long, brief and empty pages.
+    """
     rng = random.Random(seed)
+    chance = lambda p: rng.random() < p
 
     def words(low: int, high: int) -> str:
         return " ".join("".join(rng.choice("abcdefghilmnoprstu") for _ in range(rng.randint(2, 9))) for _ in range(rng.randint(low, high)))
 
+    def name(*names: str) -> str:
+        return f'{rng.choice(["id", "class"])}="{rng.choice(names)}"'
+
     def links(n: int) -> str:
         return "".join(f'<li><a href="/x">{words(1, 3)}</a></li>' for _ in range(n))
 
+    def line_of_links() -> str:
+        return rng.choice([" ", " | ", "<br>"]).join(f'<a href="/x">{words(1, 3)}</a>' for _ in range(rng.randint(1, 6)))
+
+    def paragraph() -> str:
+        text = words(1, 12) if chance(0.3) else words(8, 120)
+        text = f"<b>{text}</b>" if chance(0.1) else text
+        return f"<p data-y>{text} <a href='/y'>{words(1, 2)}</a> {words(1, 9)}</p>" if chance(0.15) else f"<p data-y>{text}</p>"
+
     def body_block() -> str:
         kind = rng.random()
-        if kind < 0.72:
-            text = words(1, 12) if rng.random() < 0.3 else words(8, 120)
-            text = f"<b>{text}</b>" if rng.random() < 0.1 else text
-            return f"<p data-y>{text} <a href='/y'>{words(1, 2)}</a> {words(1, 9)}</p>" if rng.random() < 0.15 else f"<p data-y>{text}</p>"
-        if kind < 0.8:
+        if kind < 0.7:
+            return paragraph()
+        if kind < 0.78:
             return f"<h{(h := rng.randint(2, 4))} data-y>{words(1, 7)}</h{h}>"
-        if kind < 0.88:
-            return "<ul data-y>" + "".join(f"<li data-y>{words(2, 20)}</li>" for _ in range(rng.randint(2, 6))) + "</ul>"
-        if kind < 0.92:
-            return f"<blockquote data-y><p data-y>{words(5, 40)}</p></blockquote>"
-        if kind < 0.96:
+        if kind < 0.86:
+            return f"<{(t := rng.choice(['ul', 'ol']))} data-y>" + "".join(f"<li data-y>{words(2, 20)}</li>" for _ in range(rng.randint(2, 6))) + f"</{t}>"
+        if kind < 0.9:
+            return f"<blockquote data-y><p data-y>{words(5, 40)}</p></blockquote>" if chance(0.7) else f"<blockquote data-y>{words(5, 40)}</blockquote>"
+        if kind < 0.94:
             return f"<pre data-y>{words(3, 30)}</pre>"
-        return "<table data-y>" + "".join(f"<tr data-y><td data-y>{words(1, 5)}</td><td data-y>{words(1, 5)}</td></tr>" for _ in range(3)) + "</table>"
+        cell = rng.choice(["td", "th"])
+        rows = [f"<tr data-y><{t} data-y>{words(1, 5)}</{t}><{t} data-y>{words(1, 5)}</{t}></tr>" for t in [cell, "td", "td", "td"][: rng.randint(2, 4)]]
+        return "<table data-y>" + "".join(rows) + "</table>"
+
+    def aside() -> str:
+        inner = (f"<h3>{words(1, 4)}</h3>" if chance(0.5) else "") + f"<p>{words(4, 40)}</p>" * chance(0.8) + (f"<ul>{links(4)}</ul>" if chance(0.4) else "")
+        return f"<aside>{inner or words(4, 20)}</aside>" if chance(0.6) else f"<div {name('sidebar', 'side', 'related', 'widget', 'right-sidebar')}>{inner or words(4, 20)}</div>"
 
     def clutter() -> str:
         return rng.choice(
             [
-                lambda: f'<div class="ad">{words(3, 25)}</div>',
-                lambda: f'<div class="{rng.choice(["share-buttons", "related", "newsletter-signup", "promo"])}"><p>{words(2, 20)}</p><ul>{links(3)}</ul></div>',
-                lambda: f"<aside><h3>{words(1, 4)}</h3><p>{words(4, 40)}</p><ul>{links(4)}</ul></aside>",
-                lambda: f'<form action="/s"><label>{words(1, 3)}</label><p>{words(2, 10)}</p><input name="q"></form>',
-                lambda: f'<div id="{rng.choice(["cookie-notice", "consent", "login-notice"])}"><p>{words(6, 40)}</p></div>',
+                lambda: f'<div {name("ad", "ads", "advert", "banner", "sponsored", "promo-box")}>{words(3, 25)}</div>',
+                lambda: f'<div {name("share-buttons", "share", "social-links")}>{line_of_links()}</div>',
+                lambda: f'<div {name("related", "newsletter-signup", "promo", "related-posts", "trending")}>{f"<h4>{words(1, 3)}</h4>" * chance(0.4)}<p>{words(2, 20)}</p><ul>{links(3)}</ul></div>',
+                lambda: f'<div {name("related", "recommended", "more-stories widget")}><h4>{words(1, 3)}</h4><ul>{links(rng.randint(2, 5))}</ul></div>',
+                aside,
+                aside,
+                lambda: f'<form action="/s">{f"<p>{words(2, 10)}</p>" * chance(0.6)}<label>{words(1, 3)}</label><input name="q"></form>',
+                lambda: f'<div {name("cookie-notice", "consent", "login-notice", "cookie-banner", "popup")}><p>{words(6, 40)}</p></div>',
                 lambda: f"<nav><ul>{links(rng.randint(3, 8))}</ul></nav>",
+                lambda: f"<address>{words(2, 9)} {line_of_links()}</address>",
             ]
         )()
 
     def comments() -> str:
-        box = rng.choice(["comments", "discussion", "comment-list"])
-        one = lambda: f'<div class="comment"><p>{words(1, 3)}</p><p>{words(4, 60)}</p></div>' if rng.random() < 0.5 else f"<li><p>{words(4, 60)}</p></li>"
-        return f'<{(t := rng.choice(["section", "div"]))} {rng.choice(["id", "class"])}="{box}"><h3>{words(1, 3)}</h3>' + "".join(one() for _ in range(rng.randint(1, 6))) + f"</{t}>"
+        def one() -> str:
+            said = f"<p>{words(1, 3)}</p>" * chance(0.5) + f"<p>{words(2, 60)}</p>"
+            return rng.choice([f'<div class="comment">{said}</div>', f"<li>{said}</li>", said, f'<article class="comment">{said}</article>'])
+
+        several = "".join(one() for _ in range(rng.randint(1, 6)))
+        several = f"<{(t := rng.choice(['ul', 'ol', 'div']))}>{several}</{t}>" if chance(0.5) else several
+        box = name("comments", "discussion", "comment-list", "disqus_thread", "replies")
+        return f'<{(t := rng.choice(["section", "div"]))} {box}>{f"<h3>{words(1, 3)}</h3>" * chance(0.6)}{several}</{t}>'
+
+    def menu() -> str:
+        shape = rng.random()
+        if shape < 0.5:
+            return f"<nav><ul>{links(rng.randint(2, 9))}</ul></nav>"
+        if shape < 0.6:
+            return f"<nav>{line_of_links()}</nav>"
+        return f'<div {name("menu", "nav", "topbar", "top", "navigation", "x1")}>' + (f"<ul>{links(rng.randint(2, 7))}</ul>" if chance(0.6) else line_of_links()) + "</div>"
+
+    def foot() -> str:
+        said = f"{'&copy; ' * chance(0.7)}{words(2, 30)} {line_of_links() * chance(0.4)}"
+        said = f"<p>{said}</p>" if chance(0.4) else said
+        return f"<footer>{said}</footer>" if chance(0.75) else f"<div {name('footer', 'bottom', 'legal', 'foot')}>{said}</div>"
 
     out = []
     for _ in range(pages):
-        head = f"<h1 data-y>{words(1, 9)}</h1>" if rng.random() < 0.9 else ""
-        brief = rng.random() < 0.3  # a line or two, and perhaps a title
-        inner = head = "" if brief and rng.random() < 0.4 else head
-        for _ in range(rng.randint(1, 2) if brief else rng.randint(0 if head else 1, 14)):
+        head = f"<h{(h := 1 if chance(0.7) else 2)} data-y>{words(1, 9)}</h{h}>" if chance(0.85) else ""
+        brief = chance(0.3)  # a few lines, and perhaps a title
+        head = "" if brief and chance(0.4) else head
+        inner = head
+        for _ in range(rng.randint(1, 4) if brief else rng.randint(0 if head else 1, 14)):
             inner += f"<p data-y>{words(1, 6)}</p>" if brief else body_block()
-            if rng.random() < 0.06:
+            if chance(0.08):
                 inner += clutter()
-        late = comments() if rng.random() < 0.3 else ""
-        if rng.random() < 0.4:
+        late = comments() if chance(0.35) else ""
+        if chance(0.5):
             inner, late = inner + late, ""
         shape = rng.random()
-        if shape < 0.5:
+        bare = chance(0.2)  # neither menu nor footer
+        if shape < 0.35:
             main = f"<article data-y>{inner}</article>"
-        elif shape < 0.65:
-            main = f'<main data-y><div data-y class="{rng.choice(["content", "post-body", "entry"])}">{inner}</div></main>'
-        elif shape < 0.85:
-            main = f'<div data-y {rng.choice(["id", "class"])}="{rng.choice(["content", "article-body", "main", "story"])}">{inner}</div>'
+        elif shape < 0.45:
+            main = f"<main data-y>{inner}</main>" if chance(0.4) else f'<main data-y><div data-y class="{rng.choice(["content", "post-body", "entry"])}">{inner}</div></main>'
+        elif shape < 0.6:
+            main = f'<div data-y {name("content", "article-body", "main", "story")}>{inner}</div>'
+            main = f'<div data-y {name("wrapper", "container", "post")}>{main}</div>' if chance(0.3) else main
+        elif shape < 0.7:
+            main = f"<div data-y>{inner}</div>" if chance(0.6) else f"<div data-y><div data-y>{inner}</div></div>"
+        elif shape < 0.78:
+            parts = "".join(f"<section data-y><h3 data-y>{words(1, 5)}</h3>{body_block()}{paragraph()}</section>" for _ in range(rng.randint(1, 3)))
+            main = f"<{(t := rng.choice(['section', 'div', 'article']))} data-y><section data-y>{inner}</section>{parts}</{t}>"
+        elif shape < 0.92:
+            side = lambda: rng.choice([line_of_links(), f"<ul>{links(rng.randint(2, 6))}</ul>", f"<p>{words(2, 12)}</p>{line_of_links()}"])
+            cells = [f"<td width=150>{side()}</td>" * chance(0.6), f"<td data-y>{inner}</td>", f"<td>{side()}</td>" * chance(0.5)]
+            rows = [f"<tr><td>{line_of_links()}</td></tr>" * chance(0.5), f"<tr>{''.join(cells)}</tr>", f"<tr><td>&copy; {words(2, 12)} {line_of_links()}</td></tr>" * chance(0.5)]
+            main = f"<table{rng.choice(['', ' width=600', ' border=0'])}>{''.join(rows)}</table>"
+            main = f"<center>{main}</center>" if chance(0.2) else main
         else:
-            main = f"<div data-y>{inner}</div>"
-        top = f"<header><h1>{words(1, 3)}</h1><p>{words(2, 9)}</p></header>" if rng.random() < 0.4 else ""
-        top += f"<nav><ul>{links(rng.randint(2, 9))}</ul></nav>" if rng.random() < 0.8 else f'<div class="menu"><ul>{links(5)}</ul></div>'
-        top += "".join(clutter() for _ in range(rng.randint(0, 2)))
-        end = late + "".join(clutter() for _ in range(rng.randint(0, 2)))
-        end += f"<footer>{'<p>' * (f := rng.random() < 0.3)}&copy; {words(3, 30)}{'</p>' * f}</footer>" if rng.random() < 0.85 else f'<div class="footer"><p>{words(4, 20)}</p></div>'
+            main = inner
+        top = f"<header><h1>{words(1, 3)}</h1><p>{words(2, 9)}</p></header>" if chance(0.3) else f"<header><a href='/'>{words(1, 3)}</a></header>" * chance(0.3)
+        top += menu() + "".join(clutter() for _ in range(rng.randint(0, 2)))
+        end = late + "".join(clutter() for _ in range(rng.randint(0, 2))) + foot()
+        if bare:
+            top, end = "", late
+        elif chance(0.3):
+            end = late + f"<address>{words(2, 9)} {line_of_links()}</address>" * chance(0.8)
+        if chance(0.06):  # no text at all
+            main = f"<form><input name='q'><button>{words(1, 2)}</button></form>" * chance(0.5)
         out.append(f"<html><head><title>{words(2, 6)}</title></head><body>{top}{main}{end}</body></html>")
     return out
 
 
-def train(pages: int = 320, seed: int = 11, epochs: int = 300, rate: float = 0.08, weight: float = 2e-4) -> tuple[np.ndarray, np.ndarray]:
+def train(pages: int = 900, seed: int = 11, epochs: int = 300, rate: float = 0.08, weight: float = 2e-4) -> tuple[np.ndarray, np.ndarray]:
     """Node and edge potentials that make the labelled pages most likely (Adam, light decay)."""
     trees = [Tree(p) for p in labelled_pages(pages, seed)]
     forest = Forest(trees)

@@ -3,8 +3,10 @@
 import html
 import random
 import re
+from collections import Counter
 
 import corpus
+import hand_pages
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -64,6 +66,25 @@ def test_extraction(spark, weights):
     assert html_text.main_text(rows.limit(0)).count() == 0
 
 
+def shares(got, want):
+    """Precision and recall of the words."""
+    g, x = Counter(got.split()), Counter(want.split())
+    common = sum((g & x).values())
+    return (common / sum(g.values()) if g else float(not x)), (common / sum(x.values()) if x else float(not g))
+
+
+@pytest.mark.parametrize("layout", hand_pages.PAGES)
+def test_layouts(weights, layout):
+    """Pages that the generator did not make."""
+    page, want = hand_pages.PAGES[layout]
+    assert min(shares(html_text.extract([page], *weights)[0][0], want)) >= 0.95
+
+
+def test_layouts_not_seen_before(weights):
+    found = [shares(html_text.extract([page], *weights)[0][0], want) for page, want in hand_pages.FRESH.values()]
+    assert np.mean([p for p, _ in found]) >= 0.9 and np.mean([r for _, r in found]) >= 0.95
+
+
 def test_given_pages(spark):
     pytest.importorskip("duckdb")
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
