@@ -45,3 +45,14 @@ def gather(items: Column, state: Column, step: Callable[[Column, Column], tuple[
 def before(sizes: Column) -> Column:
     """The sum of all earlier elements, for each element of an array of whole numbers."""
     return gather(sizes, F.lit(0).cast("long"), lambda total, n: (total + n, F.array(total)), "bigint")
+
+
+def runs(items: Column, key: Callable[[Column], Column]) -> Column:
+    """The array cut where ``key`` changes between neighbours: an array of arrays."""
+
+    def cut(xs: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(xs) - 1), lambda i: (i == 0) | ~key(xs[i]).eqNullSafe(key(F.get(xs, i - 1))))
+        ends = lambda at: F.transform(at, lambda s, k: F.slice(xs, s + 1, F.coalesce(F.get(at, k + 1), F.size(xs)) - s))
+        return F.when(F.size(xs) > 0, let(starts, ends)).otherwise(F.array())
+
+    return let(items, cut)

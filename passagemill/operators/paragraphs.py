@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.arrays import gather, runs
 from ..functions.text import approx_tokens, let, sentences, strip
 from ..schema import PARAGRAPHS
 
@@ -86,20 +87,13 @@ def split_by_tokens(paragraphs: Column, max_tokens: int) -> Column:
     """
 
     def pack(ss: Column) -> Column:
-        def step(acc: Column, s: Column) -> Column:
-            def add(n: Column) -> Column:
-                over = (acc["n"] + n > max_tokens) & (F.size(acc["cur"]) > 0)
-                return F.struct(
-                    F.when(over, F.concat(acc["out"], F.array(F.array_join(acc["cur"], " ")))).otherwise(acc["out"]).alias("out"),
-                    F.when(over, F.array(s)).otherwise(F.concat(acc["cur"], F.array(s))).alias("cur"),
-                    F.when(over, n).otherwise(acc["n"] + n).alias("n"),
-                )
-
-            return let(approx_tokens(s), add)
-
-        empty = F.array().cast("array<string>")
-        zero = F.struct(empty.alias("out"), empty.alias("cur"), F.lit(0).alias("n"))
-        return F.aggregate(ss, zero, step, lambda a: F.when(F.size(a["cur"]) > 0, F.concat(a["out"], F.array(F.array_join(a["cur"], " ")))).otherwise(a["out"]))
+        def step(acc: Column, n: Column) -> tuple[Column, Column]:
+            over = (acc["n"] > 0) & (acc["n"] + n > max_tokens)
+            pack_no = F.when(over, acc["pack"] + 1).otherwise(acc["pack"])
+            return F.struct(pack_no.alias("pack"), (F.when(over, n).otherwise(acc["n"] + n)).alias("n")), F.array(pack_no)
+
+        packs = gather(F.transform(ss, approx_tokens), F.struct(F.lit(0).alias("pack"), F.lit(0).alias("n")), step, "int")
+        return F.transform(runs(F.arrays_zip(ss.alias("s"), packs.alias("k")), lambda x: x["k"]), lambda xs: F.array_join(F.transform(xs, lambda x: x["s"]), " "))
 
     def parts(p: Column) -> Column:
         fits = ~splittable(p) | (approx_tokens(p["text"]) <= max_tokens)

@@ -14,8 +14,9 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.arrays import gather
 from ..functions.text import let
-from ..schema import PARAGRAPHS, PARSED
+from ..schema import PARAGRAPH, PARAGRAPHS, PARSED, SECTION
 
 BLOCKS = "array<struct<kind:string,level:int,text:string,language:string>>"
 
@@ -25,7 +26,29 @@ RULE = re.compile(r" {0,3}(?:(?:\*[ \t]*){3,}|(?:-[ \t]*){3,}|(?:_[ \t]*){3,})$"
 SETEXT = re.compile(r" {0,3}(=+|-+)[ \t]*$")
 QUOTE = re.compile(r" {0,3}>[ ]?")
 ITEM = re.compile(r"( {0,3})([-+*]|\d{1,9}[.)])(?:([ \t]+)|$)")
-HTML = re.compile(r" {0,3}<(?:[!?/]|(?:script|pre|style|textarea|address|article|aside|blockquote|body|center|details|dialog|div|dl|dt|fieldset|figure|footer|form|h[1-6]|head|header|hr|html|iframe|li|link|main|menu|nav|ol|p|section|summary|table|tbody|td|tfoot|th|thead|title|tr|ul)\b)", re.I)
+# How the kinds of HTML blocks begin, each with what ends it; None is a blank line.
+_RAW = "script|pre|style|textarea"
+_PLAIN = (
+    "address|article|aside|base|basefont|blockquote|body|caption|center|col|colgroup|dd|details|dialog|dir|div|dl|dt|fieldset|figcaption|figure|footer|form|frame|frameset|h[1-6]|head|header|hr|html|"
+    "iframe|legend|li|link|main|menu|menuitem|nav|noframes|ol|optgroup|option|p|param|search|section|summary|table|tbody|td|tfoot|th|thead|title|tr|track|ul"
+)
+_ATTRIBUTE = r"""[ \t]+[A-Za-z_:][\w.:-]*(?:[ \t]*=[ \t]*(?:[^\s"'=<>`]+|'[^']*'|"[^"]*"))?"""
+HTML = [
+    (re.compile(rf" {{0,3}}<(?:{_RAW})(?:[ \t>]|$)", re.I), re.compile(rf"</(?:{_RAW})>", re.I)),
+    (re.compile(r" {0,3}<!--"), re.compile(r"-->")),
+    (re.compile(r" {0,3}<\?"), re.compile(r"\?>")),
+    (re.compile(r" {0,3}<!\[CDATA\["), re.compile(r"\]\]>")),
+    (re.compile(r" {0,3}<![A-Za-z]"), re.compile(r">")),
+    (re.compile(rf" {{0,3}}</?(?:{_PLAIN})(?:[ \t]|/?>|$)", re.I), None),
+]
+#: A whole tag alone on its line; unlike the others it can't end a paragraph.
+LONE_TAG = re.compile(rf" {{0,3}}(?:<(?!(?:{_RAW})\b)[A-Za-z][A-Za-z0-9-]*(?:{_ATTRIBUTE})*[ \t]*/?>|</(?!(?:{_RAW})\b)[A-Za-z][A-Za-z0-9-]*[ \t]*>)[ \t]*$", re.I)
+#: A link reference definition, which is no text of the document.
+DEFINITION = re.compile(
+    r""" {0,3}\[(?!\s*\])(?:[^\[\]\\]|\\.){1,999}\]:[ \t]*\n?[ \t]*(?:<(?:[^<>\n\\]|\\.)*>|[^\s<]\S*)"""
+    r"""(?:(?:[ \t]+|[ \t]*\n[ \t]*)(?:"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|\((?:[^()\\]|\\.)*\))[ \t]*(?:\n|\Z)|[ \t]*(?:\n|\Z))""",
+    re.S,
+)
 DASHES = re.compile(r" {0,3}\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*\|?[ \t]*$")
 
 
@@ -43,9 +66,41 @@ def _indent(line: str) -> int:
     return len(line) - len(line.lstrip(" "))
 
 
+def _columns(line: str) -> str:
+    """A line whose leading tabs are spaces; others stay."""
+    lead = line[: len(line) - len(line.lstrip(" \t"))]
+    return lead.expandtabs(4) + line[len(lead) :] if "\t" in lead else line
+
+
+def _dedent(line: str, width: int) -> str:
+    """A line without so many columns of white space; what is left of a tab is spaces."""
+    at = 0
+    for k, c in enumerate(line):
+        if at >= width or c not in " \t":
+            return " " * (at - width) + line[k:]
+        at += 1 if c == " " else 4 - at % 4
+    return " " * (at - width)
+
+
+def _html(lines: list[str], i: int) -> int | None:
+    """Where the HTML block that starts at a line ends; None if there is none."""
+    for start, end in HTML:
+        if start.match(lines[i]):
+            break
+    else:
+        if not LONE_TAG.match(lines[i]):
+            return None
+        end = None
+    while i < len(lines) and (end or lines[i].strip()):
+        i += 1
+        if end and end.search(lines[i - 1]):
+            break
+    return i
+
+
 def _starts_block(line: str) -> bool:
     """Whether a line ends a paragraph before it."""
-    if ATX.match(line) or RULE.match(line) or QUOTE.match(line) or HTML.match(line):
+    if ATX.match(line) or RULE.match(line) or QUOTE.match(line) or any(start.match(line) for start, _ in HTML):
         return True
     fence = FENCE.match(line)
     if fence and not (fence[2][0] == "`" and "`" in fence[3]):
@@ -60,7 +115,8 @@ def _cells(line: str) -> list[str]:
 
 def tokenize(text: str, tables: bool = False) -> list[Block]:
     """The blocks of a text, in order."""
-    lines = re.sub(r"\r\n?", "\n", text).expandtabs(4).split("\n")
+    raw = re.sub(r"\r\n?", "\n", text).split("\n")
+    lines = [_columns(x) for x in raw]
     out: list[Block] = []
     i = 0
     while i < len(lines):
@@ -72,7 +128,7 @@ def tokenize(text: str, tables: bool = False) -> list[Block]:
             j = i
             while j < len(lines) and (_indent(lines[j]) >= 4 or not lines[j].strip()):
                 j += 1
-            out.append(Block("code", "\n".join(x[4:] for x in lines[i:j]).rstrip()))
+            out.append(Block("code", "\n".join(_dedent(x, 4) for x in raw[i:j]).rstrip()))
             i = j
             continue
         heading, fence = ATX.match(line), FENCE.match(line)
@@ -84,7 +140,7 @@ def tokenize(text: str, tables: bool = False) -> list[Block]:
             j = i + 1
             while j < len(lines) and not close.match(lines[j]):
                 j += 1
-            body = [x[min(_indent(x), len(fence[1])) :] for x in lines[i + 1 : j]]
+            body = [_dedent(x, len(fence[1])) for x in raw[i + 1 : j]]
             out.append(Block("code", "\n".join(body).rstrip(), 0, fence[3].strip() or None))
             i = j + 1
         elif RULE.match(line):
@@ -101,10 +157,9 @@ def tokenize(text: str, tables: bool = False) -> list[Block]:
             out.append(Block("quote", inner=tokenize("\n".join(inner), tables)))
         elif ITEM.match(line):
             i = _list(lines, i, out, tables)
-        elif HTML.match(line):
-            while i < len(lines) and lines[i].strip():
-                i += 1
+        elif (end := _html(lines, i)) is not None:
             out.append(Block("html"))
+            i = end
         else:
             i = _paragraph(lines, i, out, tables)
     return out
@@ -156,17 +211,26 @@ def _paragraph(lines: list[str], i: int, out: list[Block], tables: bool) -> int:
     i += 1
     while i < len(lines) and lines[i].strip():
         under = SETEXT.match(lines[i])
-        if under:
-            out.append(Block("heading", "\n".join(held), 1 if under[1][0] == "=" else 2))
+        if under and (title := _undefined("\n".join(held))):
+            out.append(Block("heading", title, 1 if under[1][0] == "=" else 2))
             return i + 1
         if _starts_block(lines[i]):
             break
         held.append(lines[i].strip() if i + 1 == len(lines) or not lines[i].endswith("  ") else lines[i].lstrip())
         i += 1
-    out.append(Block("paragraph", "\n".join(held).strip()))
+    text = _undefined("\n".join(held)).strip()
+    if text:
+        out.append(Block("paragraph", text))
     return i
 
 
+def _undefined(text: str) -> str:
+    """A paragraph's text without the link reference definitions that it begins with."""
+    while found := DEFINITION.match(text):
+        text = text[found.end() :]
+    return text
+
+
 def _inline(blocks: list[Block]) -> list[str]:
     """The inline texts of blocks, however deep; code has none."""
     out = []
@@ -212,13 +276,15 @@ def outline(items: Column) -> Column:
 
     def sections(heads: Column, leading: Column) -> Column:
         shift = F.when(leading, F.lit(1)).otherwise(F.lit(0))
-        parent = lambda h, i: F.array_max(  # noqa: E731  the last earlier heading that is less deep
-            F.transform(F.filter(F.transform(F.slice(heads, 1, i), lambda e, k: F.struct(e["level"].alias("l"), k.alias("k"))), lambda e: e["l"] < h["level"]), lambda e: e["k"])
-        )
-        named = F.transform(
-            heads,
-            lambda h, i: F.struct((i + shift).alias("section_ord"), h["text"].alias("title"), h["level"].alias("level"), (F.when(i > 0, parent(h, i)) + shift).alias("parent_ord")),
-        )
+        numbered = F.transform(heads, lambda h, i: F.struct((i + shift).alias("ord"), h["text"].alias("title"), h["level"].alias("level")))
+
+        def step(path: Column, h: Column) -> tuple[Column, Column]:
+            # The path holds the headings that are still open, a deeper one after each.
+            above = F.filter(path, lambda e: e["level"] < h["level"])
+            made = F.struct(h["ord"].alias("section_ord"), h["title"].alias("title"), h["level"].alias("level"), F.get(F.reverse(above), F.lit(0))["ord"].alias("parent_ord"))
+            return F.concat(above, F.array(F.struct(h["level"].alias("level"), h["ord"].alias("ord")))), F.array(made)
+
+        named = gather(numbered, F.array().cast("array<struct<level:int,ord:int>>"), step, SECTION)
         implicit = F.array(F.struct(F.lit(0).alias("section_ord"), F.lit("").alias("title"), F.lit(0).alias("level"), F.lit(None).cast("int").alias("parent_ord")))
         return F.when(leading, F.concat(implicit, named)).otherwise(named)
 
@@ -226,17 +292,16 @@ def outline(items: Column) -> Column:
         heads = F.filter(bs, lambda b: b["kind"] == "heading")
         leading = F.coalesce(F.get(bs, F.lit(0))["kind"] != "heading", F.lit(False))
 
-        def step(acc: Column, b: Column) -> Column:
+        def step(title: Column, b: Column) -> tuple[Column, Column]:
             head = b["kind"] == "heading"
-            atomic = b["kind"].isin("code_block", "table")
             made = F.struct(
-                F.size(acc["out"]).alias("idx"), b["text"].alias("text"), b["kind"].alias("element_type"), atomic.alias("is_atomic"),
-                b["language"].alias("language"), F.lit(None).cast("int").alias("source_idx"), acc["title"].alias("section"),
+                F.lit(0).alias("idx"), b["text"].alias("text"), b["kind"].alias("element_type"), b["kind"].isin("code_block", "table").alias("is_atomic"),
+                b["language"].alias("language"), F.lit(None).cast("int").alias("source_idx"), title.alias("section"),
             )
-            return F.struct(F.when(head, b["text"]).otherwise(acc["title"]).alias("title"), F.when(head, acc["out"]).otherwise(F.concat(acc["out"], F.array(made))).alias("out"))
+            return F.when(head, b["text"]).otherwise(title), F.when(~head, F.array(made)).otherwise(F.array().cast(PARAGRAPHS))
 
-        zero = F.struct(F.lit("").alias("title"), F.array().cast(PARAGRAPHS).alias("out"))
-        paragraphs = F.aggregate(bs, zero, step, lambda a: a["out"])
+        found = gather(bs, F.lit(""), step, PARAGRAPH)
+        paragraphs = F.transform(found, lambda p, i: p.withField("idx", i))
         return F.struct(paragraphs.alias("paragraphs"), let(heads, lambda h: sections(h, leading)).alias("sections"))
 
     return let(items, of).cast(PARSED)
