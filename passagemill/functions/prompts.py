@@ -14,16 +14,23 @@ CHECK_SYSTEM = (
 ENRICH_SYSTEM = "You describe a passage so that people can find it. Answer with one JSON object and nothing else."
 
 
-def plan_prompt(file_type: Column, titles: Column, lines: Column, paragraphs: Column, config) -> Column:
+#: What the answer to each question has to hold.
+PLAN_KEYS = (
+    "Reply with the keys topics (list of 6 to 20 brief ones), expected_chunk_count, expected_chunk_count_range ([low, high], both at least 1), "
+    "atomize_sentences_per_paragraph (0 for none, or 2 to 6), atomize_min_sentences (4 to 12), rationale (brief), confidence (0 to 1)."
+)
+ENRICH_KEYS = (
+    "Reply with the keys title, summary (one or two sentences), intent (explains, lists, warns, defines, instructs or compares), "
+    "questions (list, in which the key terms occur), keywords (list)."
+)
+
+
+def plan_prompt(file_type: Column, titles: Column, lines: Column, paragraphs: Column, sections: Column, config) -> Column:
     """What is known of a document's shape, and the keys wanted back."""
     limits = f"Similarity threshold {config.similarity_threshold}; passages of {config.min_chunk_tokens} to {config.max_chunk_tokens} tokens are wanted.\n"
-    keys = (
-        "Reply with the keys topics (list), expected_chunk_count, expected_chunk_count_range ([low, high]), "
-        "atomize_sentences_per_paragraph (0 to 10, 0 for none), atomize_min_sentences (0 to 50), rationale, confidence (0 to 1)."
-    )
     return F.concat(
-        F.lit("File type: "), file_type, F.lit("\nParagraphs: "), paragraphs.cast("string"), F.lit("\nSections: "), titles,
-        F.lit("\n" + limits + "Sample:\n"), lines, F.lit("\n" + keys),
+        F.lit("File type: "), file_type, F.lit("\nParagraphs: "), paragraphs.cast("string"), F.lit("\nSections: "), sections.cast("string"), F.lit(" "), titles,
+        F.lit("\n" + limits + "Long paragraphs can be cut into groups of sentences, atoms, before breaks are looked for.\nSample:\n"), lines, F.lit("\n" + PLAN_KEYS),
     )
 
 
@@ -33,9 +40,5 @@ def check_prompt(before: Column, after: Column) -> Column:
 
 
 def enrich_prompt(content: Column, section: Column) -> Column:
-    keys = (
-        "Reply with the keys title, summary (one or two sentences), intent (explains, lists, warns, defines, instructs or compares), "
-        "questions (list, in which the key terms occur), keywords (list)."
-    )
     shown = F.when(F.coalesce(section, F.lit("")) == "", F.lit("Document Root")).otherwise(section)
-    return F.concat(F.lit("Section: "), shown, F.lit("\nPassage:\n<<<\n"), content, F.lit("\n>>>\n" + keys))
+    return F.concat(F.lit("Section: "), shown, F.lit("\nPassage:\n<<<\n"), content, F.lit("\n>>>\n" + ENRICH_KEYS))

@@ -114,7 +114,7 @@ class Granularity(_Base):
         c = context.config
         lines = planner.paragraph_lines(F.col("paragraphs"), c.granularity_max_paragraphs, c.granularity_max_chars_per_paragraph)
         titles = planner.title_list(F.transform("sections", lambda s: s["title"]))
-        prompt = prompts.plan_prompt(F.coalesce("file_type", F.lit("")), titles, lines, F.size("paragraphs"), c)
+        prompt = prompts.plan_prompt(F.coalesce("file_type", F.lit("")), titles, lines, F.size("paragraphs"), F.col("section_count"), c)
         asked = F.when(F.size("paragraphs") > 0, F.array(prompt)).otherwise(F.array().cast("array<string>"))
         # One call, without retries.
         df = context.keep(_call(df, "plan_replies", asked, lambda a: ask(context.model, a, prompts.PLAN_SYSTEM)), "plans")

@@ -46,12 +46,12 @@ class HashEmbedder:
     dim: int = 384
 
     def embed(self, texts: list[str]) -> np.ndarray:
-        import zlib
+        from hashlib import md5
 
         out = np.zeros((len(texts), self.dim), np.float32)
         for i, text in enumerate(texts):
             for word in text.lower().split():
-                out[i, zlib.crc32(word.encode()) % self.dim] += 1
+                out[i, int(md5(word.encode()).hexdigest()[:8], 16) % self.dim] += 1
         return out
 
 
@@ -231,7 +231,8 @@ class Retry:
 def ask(model: ChatModel, prompts: Column, system: str = "", retry: Retry | None = None, threads: int = 4) -> Column:
     """Replies to an array of prompts, in order: (content, tokens_used, success, error).
 
-    Rows go through a bounded pool of threads per task. Calls are marked nondeterministic; write
+    All prompts of a batch of rows go through a bounded pool of threads per task, whichever rows they
+    are of. Calls are marked nondeterministic; write
     what comes out before it is read twice, or the model is asked twice. A failure is a reply.
     """
     retry = retry or Retry(1)
@@ -252,7 +253,9 @@ def ask(model: ChatModel, prompts: Column, system: str = "", retry: Retry | None
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         with ThreadPoolExecutor(threads) as pool:
             for rows in batches:
-                yield pd.Series([list(pool.map(one, [] if r is None else list(r))) for r in rows])
+                lists = [[] if r is None else list(r) for r in rows]
+                made = pool.map(one, [p for r in lists for p in r])
+                yield pd.Series([[next(made) for _ in r] for r in lists])
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return F.pandas_udf(run, REPLIES).asNondeterministic()(prompts)

@@ -395,47 +395,6 @@ def plan_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("vec_id", *[long(f"p.{c}").alias(c) for c in ("expected", "lo", "hi", "gs", "ms")], "p.confidence", F.array_join("p.topics", "|").alias("topics"))
 
 
-@query()
-def plan_safety(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Plans made safe for each document's sentences; tests compare it with a loop."""
-    n = P.sentence_counts(P.plain(X.text_paragraphs(F.replace("text", F.lit("\n"), F.lit("\n\n")))))
-    rows = docs(spark, sf_dir).select("doc_id", n.alias("counts"))
-    number = lambda name, m, low: (F.pmod(F.xxhash64("doc_id", F.lit(name)), F.lit(m)) + low).cast("int")
-    plan = F.struct(
-        F.array().cast("array<string>").alias("topics"), number("e", 30, 1).alias("expected"), number("l", 20, 1).alias("lo"), (number("l", 20, 1) + 4).alias("hi"),
-        number("g", 9, 0).alias("gs"), number("m", 12, 0).alias("ms"), F.lit("").alias("rationale"), F.lit(0.5).alias("confidence"),
-    )
-    safe = rows.select("doc_id", G.safe_plan(plan, F.col("counts"), F.size("counts")).alias("p"))
-    return safe.select("doc_id", "p.gs", "p.ms", "p.rationale")
-
-
-@query()
-def token_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paragraphs packed by sentences up to 100 tokens; tests compare it with a loop."""
-    parts = P.split_by_tokens(P.plain(X.text_paragraphs(F.col("text"))), 100)
-    return docs(spark, sf_dir).select("doc_id", X.barrier(parts).alias("parts")).select("doc_id", F.inline("parts")).select("doc_id", "idx", "text")
-
-
-@query()
-def frontmatter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document's chunks as Markdown."""
-    from .sinks import markdown
-
-    run = similarities(spark, sf_dir, True)
-    return run.select("doc_id", markdown(F.col("chunks")).alias("markdown"))
-
-
-@query()
-def markdown_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages turned to Markdown by a few replacements, and its blocks."""
-    from .sources.markdown import blocks
-
-    turned = F.regexp_replace(F.regexp_replace(F.regexp_replace("html", "<h1>", "\n\n# "), "<p>", "\n\n"), "<li>", "\n- ")
-    text = F.regexp_replace(turned, "<[^>]*>", "")
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", blocks(text).alias("b"))
-    return pages.select("page_id", F.posexplode("b").alias("ord", "block")).select("page_id", "ord", "block.*")
-
-
 @query(f"""
 WITH {_atom_ctes()}, {_SIM_CTES}, {_CHUNK_CTES}
 SELECT (SELECT count(*) FROM documents)::BIGINT AS documents, (SELECT count(*) FROM atom)::BIGINT AS atoms,
@@ -569,16 +528,6 @@ def reply_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("vec_id", "m.title", "m.summary", "m.intent", F.array_join("m.questions", "|").alias("questions"), F.array_join("m.keywords", "|").alias("keywords"))
 
 
-@query()
-def model_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages with a language model whose replies are fixed."""
-    from .providers import FixedModel
-
-    made = chunker(spark)
-    result = Pipeline(Context(made.config, FixedModel())).run(R.from_table(spark.read.parquet(f"{sf_dir}/documents.parquet")))
-    return result.metrics
-
-
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All chunks of all documents with their metadata."""
     return _flat_chunks(similarities(spark, sf_dir, True))

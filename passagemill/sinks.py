@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import os
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -49,31 +51,87 @@ def markdown(chunks: Column) -> Column:
     return F.pandas_udf(run, "string").asNondeterministic()(text)
 
 
+PIECE = re.compile(r"\n\n---\n(?=chunk_id: |\{\}\n)")
+
+
+def parse_rendered(text: str) -> list[dict]:
+    """The chunks of what :func:`render` wrote: their metadata, null for none, and their content."""
+    import yaml
+
+    loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
+    out = []
+    for part in PIECE.split("\n\n" + text[:-1])[1:]:
+        body, content = part.split("---\n\n", 1)
+        out.append({"metadata": yaml.load(body, Loader=loader) or None, "content": content})
+    return out
+
+
+def read_markdown(text: Column) -> Column:
+    """Chunks (metadata, content) of a column of rendered documents; none for null."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for rows in batches:
+            yield rows.map(lambda t: parse_rendered(t) if t else [])
+
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(run, f"array<struct<metadata:{METADATA},content:string>>").asNondeterministic()(text)
+
+
+def stage_tables(documents: DataFrame) -> dict[str, DataFrame]:
+    """What the stages made, a table each with a row per element: paragraphs, proposals, decisions, chunks."""
+    return {name: documents.select("doc_id", F.inline(name)) for name in ("paragraphs", "proposals", "decisions", "chunks") if name in documents.columns}
+
+
+def write_stages(documents: DataFrame, path: str) -> list[str]:
+    """Those tables, and the plans as JSON text where there are any, as Parquet under a folder."""
+    tables = stage_tables(documents) | ({"plans": plan_json(documents)} if "plan" in documents.columns else {})
+    for name, rows in tables.items():
+        rows.write.mode("overwrite").parquet(f"{path}/{name}")
+    return sorted(tables)
+
+
+def _named(documents: DataFrame, prefix: str) -> DataFrame:
+    """Rendered documents (filename, text) under names of their own; one that has no chunks has no row.
+
+    The name is that of the document without its suffix. Where several come to one name, each has
+    the beginning of a digest of its id added.
+    """
+    stem = F.concat(F.lit(prefix), F.regexp_replace("filename", r"\.[^.]*$", ""))
+    rows = documents.where(F.size("chunks") > 0).select("doc_id", stem.alias("stem"), "chunks")
+    shared = rows.groupBy("stem").count().where("count > 1").select("stem", F.lit(True).alias("shared"))
+    mark = F.when(F.col("shared"), F.concat(F.lit("_"), F.left(F.md5(F.col("doc_id").cast("string").cast("binary")), F.lit(8)))).otherwise("")
+    return rows.join(shared, "stem", "left").select(F.concat("stem", mark, F.lit(".md")).alias("filename"), markdown(F.col("chunks")).alias("text"))
+
+
 def write_markdown(documents: DataFrame, path: str, prefix: str = FILE_PREFIX) -> str:
-    """Rendered documents as a table of (filename, text) files; one that has no chunks has no row.
+    """Rendered documents as a table of (filename, text) in JSON, which works on any store.
 
-    Executors write through Spark, so it works on any store. :func:`export_markdown` makes files
-    with exact names on the driver's disk.
+    :func:`export_markdown` makes a file of each.
     """
-    name = F.concat(F.lit(prefix), F.regexp_replace("filename", r"\.[^.]*$", ""), F.lit(".md"))
-    out = documents.select(name.alias("filename"), markdown(F.col("chunks")).alias("text")).where("text is not null")
-    out.write.mode("overwrite").json(path)
+    _named(documents, prefix).write.mode("overwrite").json(path)
     return path
 
 
 def export_markdown(documents: DataFrame, directory: str, prefix: str = FILE_PREFIX) -> list[str]:
-    """A Markdown file per document in a folder of the driver, one document at a time."""
-    import os
+    """A Markdown file per document, written by the executors into a folder that all machines see.
 
+    Returns the files' paths. A file is complete or not there: it is written beside its place and moved.
+    """
     os.makedirs(directory, exist_ok=True)
-    made = []
-    for row in documents.select("filename", markdown(F.col("chunks")).alias("text")).where("text is not null").toLocalIterator():
-        stem = row["filename"].rsplit(".", 1)[0]
-        target = os.path.join(directory, f"{prefix}{stem}.md")
-        with open(target, "w", encoding="utf-8") as f:
-            f.write(row["text"])
-        made.append(target)
-    return made
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            made = []
+            for name, text in zip(rows["filename"], rows["text"]):
+                target = os.path.join(directory, name)
+                beside = f"{target}.{os.getpid()}"
+                with open(beside, "w", encoding="utf-8") as f:
+                    f.write(text)
+                os.replace(beside, target)
+                made.append(target)
+            yield pd.DataFrame({"path": made}, dtype="object")
+
+    return [r["path"] for r in _named(documents, prefix).mapInPandas(write, "path string").toLocalIterator()]
 
 
 def write_chunks(documents: DataFrame, path: str, form: str = "parquet") -> None:

@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+from passagemill import source_queries  # noqa: F401  adds its queries
 from passagemill.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
