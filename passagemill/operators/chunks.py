@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import keywords as K
+from ..functions.arrays import before
 from ..functions.text import approx_tokens, let
 from ..schema import CHUNKS
 
@@ -84,9 +85,10 @@ def number_chunks(chunks: Column) -> Column:
     """Chunk ids ``chunk_001`` and on, over the chunks that have metadata."""
 
     def of(cs: Column) -> Column:
-        rank = lambda i: F.size(F.filter(F.slice(cs, 1, i + 1), lambda c: c["metadata"].isNotNull()))
         named = lambda c, n: c.withField("metadata", c["metadata"].withField("chunk_id", F.format_string("chunk_%03d", n)))
-        some = F.transform(cs, lambda c, i: F.when(c["metadata"].isNotNull(), named(c, rank(i))).otherwise(c))
-        return F.when(F.forall(cs, lambda c: c["metadata"].isNotNull()), F.transform(cs, lambda c, i: named(c, i + 1))).otherwise(some)
+        has = lambda c: c["metadata"].isNotNull()
+        ranks = before(F.transform(cs, lambda c: has(c).cast("long")))
+        some = F.zip_with(cs, ranks, lambda c, n: F.when(has(c), named(c, (n + 1).cast("int"))).otherwise(c))
+        return F.when(F.forall(cs, has), F.transform(cs, lambda c, i: named(c, i + 1))).otherwise(some)
 
     return let(chunks, of)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,11 +31,15 @@ class Result:
     config: Config
     warnings: list[str] = field(default_factory=list)
     errors: list[str] = field(default_factory=list)
+    #: Seconds of the whole run and of each stage: of planning alone, unless ``measured``, when the work is in it.
     total_time: float = 0.0
+    stage_times: dict[str, float] = field(default_factory=dict)
+    measured: bool = False
     output_path: str | None = None
 
     @property
     def success(self) -> bool:
+        """Whether no stage failed; of a run that isn't measured, no stage's planning."""
         return not self.errors
 
     @property
@@ -105,13 +110,24 @@ class Pipeline:
         self.stages = left
         return found
 
-    def run(self, documents: DataFrame, progress: Progress | None = None) -> Result:
+    def run(self, documents: DataFrame, progress: Progress | None = None, measure: bool = False) -> Result:
+        """The documents after all stages. Stages are plans, which run when their result is read.
+
+        With ``measure`` each stage runs at once and its rows are held, so that times, progress and
+        errors are those of the work.
+        """
         began = time.time()
-        result = Result(documents, self.context.config)
+        result = Result(documents, self.context.config, measured=measure)
         for i, stage in enumerate(self.stages):
+            start = time.time()
             try:
                 if not stage.should_skip(self.context):
-                    result.documents = stage.process(result.documents, self.context)
+                    made = stage.process(result.documents, self.context)
+                    if measure:
+                        made = made.persist(StorageLevel.MEMORY_AND_DISK)
+                        made.write.format("noop").mode("overwrite").save()
+                    result.documents = made
+                    result.stage_times[stage.name] = time.time() - start
             except Exception as e:
                 result.errors.append(f"{stage.name}: {e}")
                 if not self.context.config.continue_on_error:
@@ -125,14 +141,15 @@ class Pipeline:
 class Chunker:
     """Chunks documents of files, tables or texts.
 
-    Without a model boundaries are kept as proposed and metadata is made from the text. ``keep``
-    should write a table and read it back when a model is used, so that it is asked once.
+    Without a model boundaries are kept as proposed and metadata is made from the text. With one,
+    replies are held on the executors, so that each prompt is sent once as long as these live;
+    ``keep``, a function that writes a table and reads it back, makes that certain.
     """
 
     def __init__(self, spark: SparkSession, config: Config | None = None, model: ChatModel | None = None, embedder: Embedder | None = None, keep: Callable[[DataFrame, str], DataFrame] | None = None, counter: TokenCounter | None = None):
         self.spark, self.config = ship(spark), config or Config()
         self.model, self.embedder, self.counter = model, embedder, counter
-        self.keep = keep or (lambda df, name: df)
+        self.keep = keep or ((lambda df, name: df) if model is None else (lambda df, name: df.persist(StorageLevel.MEMORY_AND_DISK)))
 
     @classmethod
     def with_api(cls, spark: SparkSession, api_key: str | None, model: str = "gpt-4o", config: Config | None = None, base_url: str | None = None) -> Chunker:
@@ -151,8 +168,8 @@ class Chunker:
     def _context(self, dry_run: bool) -> Context:
         return Context(self.config, self.model, self.embedder, self.counter, dry_run, self.keep)
 
-    def run(self, documents: DataFrame, dry_run: bool = False, progress: Progress | None = None) -> Result:
-        return Pipeline(self._context(dry_run)).run(documents, progress)
+    def run(self, documents: DataFrame, dry_run: bool = False, progress: Progress | None = None, measure: bool = False) -> Result:
+        return Pipeline(self._context(dry_run)).run(documents, progress, measure)
 
     def chunk_files(self, path: str, output_dir: str | None = None, dry_run: bool = False, progress: Progress | None = None) -> Result:
         """Chunk all files under a path; with ``output_dir`` write a Markdown file for each."""

@@ -267,6 +267,24 @@ class TokenCounter(Protocol):
     def count(self, text: str) -> int: ...
 
 
+# How the public encodings cut a text before merging.
+PATTERNS = {
+    "r50k_base": r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",
+    "cl100k_base": r"'(?i:[sdmt]|ll|ve|re)|[^\r\n\p{L}\p{N}]?+\p{L}++|\p{N}{1,3}+| ?[^\s\p{L}\p{N}]++[\r\n]*+|\s++$|\s*[\r\n]|\s+(?!\S)|\s",
+}
+DEFAULT_ENCODING = "cl100k_base"
+
+
+def encoding_of(model: str) -> str:
+    """The name of a model's public encoding; that of a model nobody knows is DEFAULT_ENCODING."""
+    try:
+        import tiktoken
+
+        return tiktoken.encoding_name_for_model(model)
+    except (ImportError, KeyError):
+        return DEFAULT_ENCODING
+
+
 @dataclass
 class BpeCounter:
     """Tokens by a byte-pair vocabulary file of ranks (base64 token, rank), as tiktoken reads it.
@@ -275,7 +293,7 @@ class BpeCounter:
     """
 
     path: str
-    pattern: str = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    pattern: str = PATTERNS["r50k_base"]
     _loaded: object = field(default=None, repr=False)
 
     def __getstate__(self) -> dict:
@@ -291,6 +309,24 @@ class BpeCounter:
         except Exception:
             return int(len(text.split()) * TOKENS_PER_WORD)
 
+    def truncate(self, text: str, tokens: int) -> str:
+        """The text of the first so many tokens; by words, 1.3 tokens each, where they can't be had."""
+        if not text:
+            return ""
+        try:
+            if self._loaded is None:
+                self._loaded = self._load()
+            found = self._loaded.encode_ordinary(text)
+            return text if len(found) <= tokens else self._loaded.decode(found[:tokens])
+        except Exception:
+            return " ".join(text.split()[: int(tokens / TOKENS_PER_WORD)])
+
+    @classmethod
+    def for_model(cls, model: str, folder: str) -> BpeCounter:
+        """The counter of a model's encoding, whose file ``<encoding>.tiktoken`` is in a folder that all machines see."""
+        name = encoding_of(model)
+        return cls(f"{folder.rstrip('/')}/{name}.tiktoken", PATTERNS.get(name, PATTERNS[DEFAULT_ENCODING]))
+
     def _load(self):
         import base64
 
@@ -301,6 +337,17 @@ class BpeCounter:
         return tiktoken.Encoding("file", pat_str=self.pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+def truncate_tokens(counter: BpeCounter, text: Column, tokens: int) -> Column:
+    """A column of texts, each cut to so many tokens."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for rows in batches:
+            yield rows.map(lambda t: None if t is None else counter.truncate(t, tokens))
+
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(run, "string").asNondeterministic()(text)
+
+
 def count_tokens(counter: TokenCounter, texts: Column) -> Column:
     """Tokens of each text of an array, by a counter that is loaded once per task."""
 

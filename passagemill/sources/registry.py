@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import UnsupportedTypeError
+from ..schema import PARSED
 from . import markdown, pdf, text
 
 #: A parser takes the column of a file's bytes and returns one of type PARSED, null where it fails.
@@ -95,9 +97,15 @@ REGISTRY = Registry()
 
 
 def read_files(spark: SparkSession, path: str, registry: Registry = REGISTRY) -> DataFrame:
-    """Documents of all files under a path or glob."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    return registry.parse(files)
+    """Documents of all files under a path or glob; a path that isn't there is a row with an error."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    try:
+        return registry.parse(reader.load(path).select("path", "content"))
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+    lost = spark.createDataFrame([(path, path.rstrip("/").rsplit("/", 1)[-1])], "doc_id string, filename string")
+    return lost.select("doc_id", "filename", F.lit(None).cast("string").alias("file_type"), F.lit(None).cast(PARSED).alias("parsed"), F.concat(F.lit("file not found: "), "doc_id").alias("error"))
 
 
 def spread(rows: DataFrame) -> DataFrame:

@@ -217,3 +217,94 @@ def test_chunk_text_has_no_shuffle(spark):
     assert len(Chunker(spark).chunk_text(LONG)) == 5
     plan = Chunker(spark).run(from_texts(spark, [LONG])).chunks._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and plan.count("ArrowEvalPython") == 1
+
+
+def test_measured_run(spark):
+    """Times and errors are of the work when asked for."""
+    docs = registry_documents(spark)
+    quick = Pipeline(Context()).run(docs)
+    assert not quick.measured and quick.success
+
+    class Fails:
+        name = "fails"
+
+        def should_skip(self, context):
+            return False
+
+        def process(self, df, context):
+            return df.withColumn("x", F.raise_error(F.lit("on an executor")))
+
+    late = Pipeline(Context()).add(Fails()).run(docs)
+    assert late.success  # nothing has run yet
+    found = Pipeline(Context()).add(Fails()).run(docs, measure=True)
+    assert found.measured and not found.success and "on an executor" in found.errors[0]
+    assert all(t > 0 for t in found.stage_times.values()) and found.chunk_count() > 0
+
+
+def registry_documents(spark):
+    from passagemill.sources import registry
+
+    return registry.from_texts(spark, ["one a.\n\ntwo b.\n\nthree c.\n\nfour d.\n\nfive e."] * 3)
+
+
+def test_missing_path_is_an_event(spark, tmp_path):
+    from passagemill.sources import registry
+
+    result = Pipeline(Context()).run(registry.read_files(spark, str(tmp_path / "none.md")))
+    events = result.events.collect()
+    assert any(e["level"] == "error" and "not found" in e["message"] for e in events) and result.chunk_count() == 0
+
+
+def test_equal_names_make_files_of_their_own(spark, tmp_path):
+    from passagemill.sinks import parse_rendered, write_stages
+
+    for name in ("x/a.md", "y/a.md", "y/a.txt", "y/b.txt"):
+        (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / name).write_text(f"text of {name}")
+    result = Chunker(spark).chunk_files(str(tmp_path / "in"))
+    files = export_markdown(result.documents, str(tmp_path / "out"))
+    assert len(set(files)) == 4 and sorted(os.listdir(tmp_path / "out")) == sorted(os.path.basename(f) for f in files)
+    assert {c["content"] for f in files for c in parse_rendered(open(f).read())} == {f"text of {n}" for n in ("x/a.md", "y/a.md", "y/a.txt", "y/b.txt")}
+    assert "chunks_b.md" in os.listdir(tmp_path / "out")
+    assert write_stages(result.documents, str(tmp_path / "tables")) == ["chunks", "decisions", "paragraphs", "proposals"]
+    assert spark.read.parquet(str(tmp_path / "tables" / "paragraphs")).count() == 4
+
+
+def test_prompts_of_a_batch_are_asked_together(spark):
+    """Rows of one prompt each don't wait for one another."""
+    import time
+
+    from passagemill.providers import Reply, ask
+
+    class Slow:
+        name = "slow"
+
+        def complete(self, prompt, system=""):
+            time.sleep(0.1)
+            return Reply(prompt + "!", 1, "slow")
+
+    df = spark.createDataFrame([(i, [f"p{i}"] if i % 9 else []) for i in range(90)], "i int, p array<string>").coalesce(1)
+    began = time.time()
+    rows = df.select("i", ask(Slow(), F.col("p"), threads=16).alias("r")).collect()
+    assert {r["i"]: [x["content"] for x in r["r"]] for r in rows} == {i: [f"p{i}!"] if i % 9 else [] for i in range(90)}
+    assert time.time() - began < 6
+
+
+@pytest.mark.skipif(not os.path.exists("/opt/tokenizers/byte_bpe_50k.tiktoken"), reason="no vocabulary here")
+def test_bpe_of_a_real_vocabulary(spark, tmp_path):
+    from passagemill.providers import BpeCounter, count_tokens, encoding_of, truncate_tokens
+
+    counter = BpeCounter("/opt/tokenizers/byte_bpe_50k.tiktoken")
+    text = "The harbour was rebuilt after the storm of 1911, when two piers were lost. Süße Grüße!"
+    whole = counter.count(text)
+    assert len(text.split()) < whole < len(text) and counter.truncate(text, whole) == text
+    for n in range(1, whole):
+        cut = counter.truncate(text, n)
+        assert text.startswith(cut.rstrip("\ufffd")) and (cut.endswith("\ufffd") or counter.count(cut) <= n)
+    df = spark.createDataFrame([(text,), (None,), ("",)], "t string")
+    rows = df.select(count_tokens(counter, F.array("t")).alias("n"), truncate_tokens(counter, F.col("t"), 4).alias("c")).collect()
+    assert [r["n"] for r in rows] == [[whole], [0], [0]] and [r["c"] for r in rows] == [counter.truncate(text, 4), None, ""]
+    assert (encoding_of("gpt-4"), encoding_of("gpt-4o"), encoding_of("nobody's")) == ("cl100k_base", "o200k_base", "cl100k_base")
+    os.symlink("/opt/tokenizers/byte_bpe_50k.tiktoken", tmp_path / "r50k_base.tiktoken")
+    assert BpeCounter.for_model("davinci", str(tmp_path)).count(text) == whole
+    assert BpeCounter.for_model("gpt-4", str(tmp_path)).count(text) == int(len(text.split()) * 1.3)  # no file of that encoding
