@@ -13,6 +13,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U = np.uint64
 #: Bytes of text in one slice.
@@ -116,20 +117,42 @@ def slices(texts: pa.Array, lower: bool = False, marks: bool = False, size: int
         at = to
 
 
-def small(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most so many, which bounds what a worker holds.
+def small(batches: Iterator[pa.RecordBatch], rows: int = 1024, column: str | None = None, size: int = 1 << 24) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most so many rows, and bytes in a ``column``, which bounds what a worker holds.
 
-    At the end it gives back what is free: workers live on between stages, one beside the other.
+    A longer value is a batch of its own. At the end it gives back what is free: workers live on
+    between stages, one beside the other.
     """
     for batch in batches:
-        for at in range(0, len(batch), rows):
-            yield batch.slice(at, rows)
+        ends = np.arange(1, len(batch) + 1)
+        if column is not None and len(batch):
+            lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+            ends = np.cumsum(lengths.astype(np.int64))
+        at = 0
+        while at < len(batch):
+            to = min(at + rows, len(batch))
+            if column is not None:
+                before = ends[at - 1] if at else 0
+                to = min(to, max(at + 1, int(np.searchsorted(ends, before + size, "right"))))
+            yield batch.slice(at, to - at)
+            at = to
     batch = None
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(AttributeError, OSError):  # only some C libraries have it
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def spans(h: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Hashes of runs of words, any number of any length, from running sums: no run is walked."""
+    out = np.zeros(len(start), U)
+    if len(start):
+        up, down = _powers(max(SLICE, 1 << int(len(h)).bit_length()))
+        sums = np.zeros(len(h) + 1, U)
+        np.cumsum(mix(h ^ U(0x5851F42D4C957F2D)) * up[: len(h)], out=sums[1:])
+        out = mix((sums[start + length] - sums[start]) * down[start])
+    return out
+
+
 def grams(h: np.ndarray, bounds: np.ndarray, n: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of ``n`` words that lie in one document, and the word each starts at."""
     if len(h) < n:

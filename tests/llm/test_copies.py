@@ -8,6 +8,7 @@ import corpus
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from passagemill.llm import jaccard_join, substrings
@@ -49,6 +50,48 @@ def test_repeats_of_small_alphabets(spark):
     assert sorted((tuple(r) for r in got), key=repr) == kept_texts(rows, 13)
 
 
+@pytest.mark.parametrize("levels", [(5, 9), (6, 8, 14), substrings.LEVELS])
+def test_long_repeats(spark, levels):
+    """Documents glued of passages from a pool, so that repeats begin, end and meet anywhere, some of runs of one word."""
+    r = random.Random(len(levels) + levels[0])
+    pool = [corpus.passage(r, r.choice([14, 40, 150, 600]), 3000) for _ in range(25)] + ["run " * 90, "a b " * 70]
+    rows = []
+    for i in range(60):
+        parts = [" ".join(r.choice(pool).split()[r.randrange(8) :]) if r.random() < 0.8 else corpus.passage(r, r.randint(1, 40), 3000) for _ in range(r.randint(1, 7))]
+        rows.append((i, r.choice([" ", "\n"]).join(parts), "", "", 0))
+    rows += [(7, rows[40][1], "", "", 0), (None, rows[3][1] + " x", "", "", 0)]
+    got = substrings.drop_repeats(corpus.frame(spark, rows), levels=levels).collect()
+    assert sorted((tuple(x) for x in got), key=repr) == kept_texts(rows, 13)
+
+
+def test_a_long_copy_travels_as_a_few_symbols():
+    """Of 5,000 words in other surroundings, all but the ends are symbols of both, less than a hundred of them."""
+    r = random.Random(2)
+    body = corpus.passage(r, 5000, 100_000)
+    one, two = (corpus.passage(r, n, 100_000) + " " + body + " " + corpus.passage(r, n, 100_000) for n in (300, 411))
+    batch = pa.record_batch({"did": pa.array([1, 2]), "tag": pa.array([5, 6], pa.int32()), "text": [one, two]})
+    rows = [x for b in substrings._symbol_rows(iter([batch]), 13, substrings.LEVELS) for x in b.to_pylist()]
+    shared = [x for x in rows if x["known"]]
+    covered = {p for x in shared for p in range(x["spot"] & 0xFFFFFFFF, (x["spot"] & 0xFFFFFFFF) + x["span"])}
+    assert {x["did"] for x in shared} == {2} and len([x for x in rows if x["did"] == 2]) < 135 and len(shared) < 115
+    assert len(covered) > 4500 and min(covered) >= 411 and max(covered) < 5411
+    cover = [[], [{"spot": x["spot"], "span": x["span"]} for x in shared]]
+    packed = pa.record_batch({**{c: batch.column(c) for c in ("did", "tag")}, "packed": [zstandard.compress(t.encode()) for t in (one, two)], "cover": pa.array(cover, pa.list_(pa.struct({"spot": pa.int64(), "span": pa.int32()})))})
+    keys = [x for b in substrings._anchor_rows(iter([packed]), 13) for x in b.to_pylist()]
+    both = [x for x in keys if x["known"] and x["did"] == 2]
+    assert len(both) < 350  # anchors of the ends, and of windows across two symbols
+
+
+def test_runs_are_one_symbol():
+    """A run is named after its word and length, whatever stands around it; so is what pairs are made of it."""
+    (words,) = slices(pa.array(["x " * 1000 + "y", "z " + "x " * 1000, "x " * 999]))
+    name, start, length = substrings.high_symbols(words, (1,), 13)
+    at = dict(zip(start.tolist(), zip(name.tolist(), length.tolist())))
+    assert sorted(n for _, n in at.values()) in ([999, 1000, 1000], [999, 1000, 1001], [999, 1001, 1001]) and len(at) == 3
+    name, start, length = substrings.high_symbols(words, substrings.LEVELS, 13)
+    assert len(name) <= 6
+
+
 def test_no_documents(spark, nothing):
     assert substrings.drop_repeats(nothing).count() == 0
     assert jaccard_join.jaccard_classes(nothing).count() == 0 and jaccard_join.keep_firsts(nothing).count() == 0
