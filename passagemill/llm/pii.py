@@ -281,5 +281,38 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op10_pii": op10_pii}
-ORACLES: dict[str, str] = {}
+def base_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of the query above that SQL can say as well."""
+    return op10_pii(spark, sf_dir).select("doc_id", *[f"n_{k.name}" for k in BASE], "base_sha256")
+
+
+def _sql() -> str:
+    plain = {
+        "email": "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+", "ip": "[0-9]+\\.[0-9]+\\.[0-9]+\\.[0-9]+",
+        "card": "[0-9](?:[\\x20-]?[0-9])+", "phone": "\\+[0-9][\\x20().0-9-]+[0-9]",
+    }
+    digits = "regexp_replace(m, '[^0-9]', '', 'g')"
+    doubled = f"substr({digits}, (length({digits}) - k)::INTEGER, 1)::INTEGER * (1 + k % 2)"
+    luhn = f"list_sum(list_transform(range(length({digits})), lambda k: CASE WHEN {doubled} > 9 THEN {doubled} - 9 ELSE {doubled} END)) % 10 = 0"
+    valid = {
+        "email": "true", "ip": "len(list_filter(string_split(m, '.'), lambda p: length(ltrim(p, '0')) > 3 OR (length(ltrim(p, '0')) = 3 AND ltrim(p, '0') > '255'))) = 0",
+        "card": f"length({digits}) BETWEEN 16 AND 19 AND {luhn}", "phone": f"length({digits}) BETWEEN 8 AND 15",
+    }
+    parts = ",\n".join(
+        f"""{kind}_m AS (SELECT doc_id, unnest(range(1, len(ms) + 1)) AS i, gaps, ms FROM (SELECT doc_id, string_split_regex(t, '{p}') AS gaps, regexp_extract_all(t, '{p}') AS ms FROM d)),
+{kind}_s AS (SELECT doc_id, ms[i] AS m, list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS start FROM {kind}_m)"""
+        for kind, p in plain.items()
+    )
+    every = " UNION ALL ".join(f"SELECT doc_id, {n} AS k, '{kind}' AS kind, start, start + length(m) AS stop FROM {kind}_s WHERE {valid[kind]}" for n, kind in enumerate(plain))
+    counts = ", ".join(f"count(kind) FILTER (kind = '{kind}') AS n_{kind}" for kind in plain)
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+{parts},
+every AS ({every})
+SELECT d.doc_id, {counts}, sha256(coalesce(string_agg(kind || ':' || start::BIGINT || ':' || stop::BIGINT, ',' ORDER BY k, start), '')) AS base_sha256
+FROM d LEFT JOIN every USING (doc_id) GROUP BY d.doc_id
+"""
+
+
+QUERIES = {"op10_pii": op10_pii, "base_personal_data": base_personal_data}
+ORACLES = {"base_personal_data": _sql()}
