@@ -164,6 +164,30 @@ def _keys(percent: int) -> list[str]:
     return sorted(keys)
 
 
+def _one_of(words: list[str]) -> str:
+    """A regular expression for any of the words that reads each beginning that several share once."""
+    tree: dict = {}
+    for word in words:
+        node = tree
+        for c in word:
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def written(node: dict) -> str:
+        ways = [c + written(node[c]) for c in sorted(node) if c]
+        if not ways:
+            return ""
+        rest = ways[0] if len(ways) == 1 else f"(?:{'|'.join(ways)})"
+        return f"(?:{rest})?" if "" in node else rest
+
+    return written(tree)
+
+
+def _asked(docs: DataFrame, percent: int) -> DataFrame:
+    """The rows that may have a notice: a cheap test, for most texts have none of the words."""
+    return docs.where(F.lower("text").rlike(rf"(?<![a-z0-9]){_one_of(_keys(percent))}(?![a-z0-9])"))
+
+
 def _normalised(text: Column) -> Column:
     return F.array_remove(F.split(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "), " "), "")
 
@@ -219,7 +243,7 @@ def scan_licenses(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     lines = unit("line", F.split(text, "\n", -1), lambda x: x["body"] != "")
     paragraphs = F.split(text, r"\n[\x20\t]*\n", -1)
     whole = F.when(F.size(paragraphs) > 1, unit("text", F.array(text), several)).otherwise(F.array().cast("array<struct<unit:string,unit_no:int,body:string>>"))
-    units = docs.select("doc_id", F.explode(F.concat(lines, unit("paragraph", paragraphs, several), whole)).alias("u")).select("doc_id", "u.*")
+    units = _asked(docs, percent).select("doc_id", F.explode(F.concat(lines, unit("paragraph", paragraphs, several), whole)).alias("u")).select("doc_id", "u.*")
     units = units.where(F.length("body") >= 2 * low)  # w words are at least 2 w - 1 characters
 
     found = units.select("doc_id", "unit", "unit_no", let(_normalised(F.col("body")), _sized(percent)).alias("b"))
@@ -237,10 +261,9 @@ def embedded_notices(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     that overlap the one that shares most with its template (ties by Dice, place, length, template order).
     """
     sized = _sized(percent)
-    keys, grams = _keys(percent), sorted({b for _, text in TEMPLATES for b in _template_bigrams(text)})
+    grams = sorted({b for _, text in TEMPLATES for b in _template_bigrams(text)})
     fewest = min(_least(len(_template_bigrams(text)), percent) for _, text in TEMPLATES)
-    # A cheap test first: most texts have none of the words.
-    asked = docs.where(F.lower("text").rlike(rf"(?<![a-z0-9])(?:{'|'.join(keys)})(?![a-z0-9])"))
+    asked = _asked(docs, percent)
 
     def left(body: Column, parts: Callable[[Column], Column]) -> Column:
         blanked = lambda ws: F.when(F.coalesce(sized(ws)["enough"], F.lit(False)), F.array_repeat(F.lit("|"), F.size(ws))).otherwise(parts(ws))
