@@ -36,7 +36,7 @@ PERIOD, FINE = 1 << 20, 1 << 40
 #: Blocks of a source that a row of the schedule holds.
 RUN = 1 << 10
 #: Rows that a piece of a source holds about, and pieces that are numbered together.
-PIECE, SHELF = 1 << 12, 1 << 12
+PIECE, SHELF = 1 << 10, 1 << 12
 #: Default target: a source's share of all characters to this power.
 TEMPERATURE = 0.5
 
