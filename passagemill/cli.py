@@ -11,6 +11,11 @@ from .config import Config
 from .errors import ChunkingError
 
 
+#: Events shown at most; all are in the result.
+SHOWN = 100
+
+
+# The options' names, short forms and defaults.
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="passagemill", description="Cut documents into passages with metadata.")
     p.add_argument("input_file", help="file, folder or glob to chunk")
@@ -52,8 +57,11 @@ def main(argv: list[str] | None = None) -> int:
     except ChunkingError as e:
         print(f"error: {e}", file=sys.stderr)
         return 1
-    for event in result.events.collect():
+    events = result.events.limit(SHOWN + 1).collect()
+    for event in events[:SHOWN]:
         print(f"{event['level']}: {event['doc_id']}: {event['message']}", file=sys.stderr)
+    if len(events) > SHOWN:
+        print("... and more", file=sys.stderr)
     print(f"{result.chunk_count()} chunks, {result.total_tokens()} tokens, {len(files)} files")
     for error in result.errors:
         print(f"error: {error}", file=sys.stderr)

@@ -9,6 +9,10 @@ from ..functions.text import let, sentence_count, strip
 from .paragraphs import estimate_atoms, sample
 
 MAX_TITLES, MAX_TOPICS = 20, 50
+# The notes that an adjusted plan's rationale gets.
+FINER = "(Adjusted atomization to avoid under-splitting: %d sentences/group, min_sentences=%d.)"
+PAIRED = "(Adjusted atomization to 2 sentences/group to better match the expected chunk granularity.)"
+COARSER = "(Adjusted atomization to %d sentences/group to avoid over-splitting.)"
 
 
 def title_list(titles: Column, limit: int = MAX_TITLES) -> Column:
@@ -96,7 +100,7 @@ def safe_plan(plan: Column, counts: Column, paragraphs: Column) -> Column:
         def finer(hit: Column) -> Column:
             few = estimate_atoms(counts, p["gs"], p["ms"]) < p["lo"]
             moved = few & hit.isNotNull() & ((hit["gs"] != p["gs"]) | (hit["ms"] != p["ms"]))
-            said = F.format_string("(Adjusted atomization to avoid under-splitting: %d sentences/group, min_sentences=%d.)", hit["gs"], hit["ms"])
+            said = F.format_string(FINER, hit["gs"], hit["ms"])
             return F.struct(
                 F.when(moved, hit["gs"]).otherwise(p["gs"]).alias("gs"), F.when(moved, hit["ms"]).otherwise(p["ms"]).alias("ms"),
                 F.when(moved, trimmed(note(p["rationale"], said))).otherwise(p["rationale"]).alias("rationale"),
@@ -104,7 +108,7 @@ def safe_plan(plan: Column, counts: Column, paragraphs: Column) -> Column:
 
         def paired(a: Column) -> Column:
             two = (p["expected"] > paragraphs) & (paragraphs > 0) & (p["expected"] >= paragraphs * 1.5) & (a["gs"] > 2) & (estimate_atoms(counts, F.lit(2), a["ms"]) <= p["hi"] * 3)
-            said = F.lit("(Adjusted atomization to 2 sentences/group to better match the expected chunk granularity.)")
+            said = F.lit(PAIRED)
             return F.struct(F.when(two, F.lit(2)).otherwise(a["gs"]).alias("gs"), a["ms"].alias("ms"), F.when(two, trimmed(note(a["rationale"], said))).otherwise(a["rationale"]).alias("rationale"))
 
         def coarser(b: Column) -> Column:
@@ -112,7 +116,7 @@ def safe_plan(plan: Column, counts: Column, paragraphs: Column) -> Column:
             size = F.when(b["gs"] < 6, F.coalesce(F.get(fits, F.lit(0)), F.lit(6))).otherwise(b["gs"])
             return let(size, lambda g: F.struct(
                 g.alias("gs"), b["ms"].alias("ms"),
-                F.when(g != b["gs"], trimmed(note(b["rationale"], F.format_string("(Adjusted atomization to %d sentences/group to avoid over-splitting.)", g)))).otherwise(b["rationale"]).alias("rationale"),
+                F.when(g != b["gs"], trimmed(note(b["rationale"], F.format_string(COARSER, g)))).otherwise(b["rationale"]).alias("rationale"),
             ))
 
         found = let(F.when(estimate_atoms(counts, p["gs"], p["ms"]) < p["lo"], reach), finer)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..errors import ConfigError
 from ..functions import prompts
-from ..providers import ChatModel, Embedder, HttpChatModel, TokenCounter
+from ..providers import BpeCounter, ChatModel, Embedder, HttpChatModel, SentenceTransformerEmbedder, TokenCounter
 from ..session import ship
 from ..sinks import write_markdown
 from ..sources import registry as sources
@@ -204,6 +204,15 @@ class Builder:
         self._parts["embedder"] = embedder
         return self
 
+    def neural(self) -> Builder:
+        """The sentence-transformers model that the settings name."""
+        c = self._parts.get("config") or Config()
+        return self.embedder(SentenceTransformerEmbedder(c.embedding_model, c.embedding_device))
+
+    def tokens(self, folder: str) -> Builder:
+        """Tokens as the model that the settings name counts them, by a vocabulary file in a folder that all machines see."""
+        return self.counter(BpeCounter.for_model((self._parts.get("config") or Config()).token_model, folder))
+
     def counter(self, counter: TokenCounter) -> Builder:
         self._parts["counter"] = counter
         return self

@@ -308,3 +308,29 @@ def test_bpe_of_a_real_vocabulary(spark, tmp_path):
     os.symlink("/opt/tokenizers/byte_bpe_50k.tiktoken", tmp_path / "r50k_base.tiktoken")
     assert BpeCounter.for_model("davinci", str(tmp_path)).count(text) == whole
     assert BpeCounter.for_model("gpt-4", str(tmp_path)).count(text) == int(len(text.split()) * 1.3)  # no file of that encoding
+
+
+def test_settings_name_models(spark, tmp_path, monkeypatch):
+    """The builder's embedder and counter are those of the settings; the library is only asked when used."""
+    import types
+
+    from passagemill.errors import EmbeddingError
+
+    class Loaded:
+        def __init__(self, name, device=None):
+            self.made = (name, device)
+
+        def get_sentence_embedding_dimension(self):
+            return 3
+
+        def encode(self, texts, batch_size, show_progress_bar):
+            return [[len(t), 1.0, batch_size] for t in texts]
+
+    made = Chunker.builder(spark).config(Config(embedding_model="some", embedding_device="cpu", token_model="gpt-4o")).neural().tokens(str(tmp_path)).build()
+    assert made.counter.path.endswith("o200k_base.tiktoken")
+    with pytest.raises(EmbeddingError):
+        made.embedder.embed(["no library here"])
+    monkeypatch.setitem(sys.modules, "sentence_transformers", types.SimpleNamespace(SentenceTransformer=Loaded))
+    assert made.embedder.embed(["ab", "c"]).tolist() == [[2, 1, 32], [1, 1, 32]] and made.embedder.dim == 3
+    assert made.embedder._loaded.made == ("some", "cpu") and made.embedder.embed([]).shape == (0, 3)
+    assert made.embedder.__getstate__()["_loaded"] is None

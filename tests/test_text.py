@@ -1,6 +1,7 @@
 """Text functions against Python's own, on random input with odd white space."""
 
 import random
+from collections import Counter
 import re
 
 from pyspark.sql import functions as F
@@ -47,12 +48,8 @@ def test_previews(spark):
 
 
 def simple_keywords(t):
-    counts = {}
-    for w in t.lower().split():
-        w = "".join(c for c in w if c.isalnum())
-        if w and w not in K.STOP_WORDS and len(w) > 3:
-            counts[w] = counts.get(w, 0) + 1
-    return [w for w, _ in sorted(counts.items(), key=lambda x: -x[1])[:5]]
+    clean = Counter(re.sub(r"[\W_]", "", w) for w in t.lower().split())
+    return [w for w, _ in Counter({w: n for w, n in clean.items() if len(w) > 3 and w not in set(K.STOP_WORDS)}).most_common(5)]
 
 
 def test_keywords(spark):
@@ -76,13 +73,14 @@ def deduped(items, most):
 
 
 def covered(qs, kws):
-    qs, kws = [q for q in qs if q.strip()], [k for k in kws if k.strip()]
-    missing = [k for k in kws if not any(k.lower() in q.lower() for q in qs)]
-    if kws and len(missing) > max(1, len(kws) // 3):
-        for k in missing:
-            if len(qs) < 8 and f"explain {k}?".lower() not in {q.lower() for q in qs}:
-                qs.append(f"Explain {k}?")
-    return qs[:8]
+    asked, wanted = list(filter(str.strip, qs)), list(filter(str.strip, kws))
+    everything = "\n".join(asked).lower()
+    lost = [k for k in wanted if k.lower() not in everything]
+    if len(lost) <= max(1, len(wanted) // 3):
+        return asked[:8]
+    more = [f"Explain {k}?" for k in lost]
+    spelled = {q.lower(): q for q in reversed(more)}
+    return (asked + [spelled[q] for q in dict.fromkeys(map(str.lower, more)) if q not in set(map(str.lower, asked))])[:8]
 
 
 def test_given_questions_and_keywords(spark):
