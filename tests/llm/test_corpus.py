@@ -84,6 +84,44 @@ def test_pipeline_by_brute_force(spark):
             total += n
 
 
+@pytest.fixture(scope="module")
+def extremes(spark):
+    """A text of some MB, one of a single word that long, rows without an id, without a text, and twice the same."""
+    import random
+
+    import corpus
+
+    r = random.Random(11)
+    long = " ".join(r.choice(["the", "of", "software", "license", "4111 1111 1111 1111", "a@b.co"]) if r.random() < 0.1 else f"w{r.randrange(50_000)}" for _ in range(400_000))
+    rows = [(1, long), (2, "x" * 2_000_000), (None, "a short text without an id, which is there all the same and has some words"), (None, None), (3, None), (4, ""), (5, long), (5, long)]
+    return rows, corpus.frame(spark, [(i, t, "en", None, len(t or "")) for i, t in rows]).cache()
+
+
+def test_extremes(spark, extremes):
+    """Every operator takes them, and returns a row for each where it returns rows of documents."""
+    from passagemill.llm import decontaminate, jaccard_join, licenses, mixing, pii, quality_model, quality_rules, substrings
+
+    rows, df = extremes
+    ids = lambda f: sorted(str(r[0]) for r in f.select("doc_id").collect())
+    every = sorted(str(i) for i, _ in rows)
+    words = rows[0][1].split()
+    bench = spark.createDataFrame([(1, " ".join(words[1000:1030])), (2, " ".join(words[-40:]))], "item_id long, text string")
+    leaks = [(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(df, bench).collect()]
+    assert sorted(leaks) == sorted((d, i) for d in (1, 5, 5) for i in (1, 2))
+    assert ids(decontaminate.drop_leaks(df, bench)) == sorted(["2", "3", "4", "None", "None"])
+    assert ids(mixing.mix_sources(df)) == every and ids(pii.pii_digest(df)) == every and ids(pii.redact(df)) == every
+    judged = quality_rules.judge(df)
+    assert ids(judged) == every and {r["n_words"] for r in judged.where("doc_id = 1").collect()} == {len(words)}
+    labels = spark.createDataFrame([(1, 1), (2, 0), (5, 1), (None, 1)], "doc_id long, quality int")
+    assert ids(quality_model.score_quality(df, quality_model.learn(df, labels))) == every
+    classes = [(r["doc_id"], r["component_id"]) for r in jaccard_join.jaccard_classes(df).collect()]
+    assert sorted(classes, key=repr) == sorted([(1, 1), (2, 2), (None, None), (None, None), (3, 3), (4, 4), (5, 1), (5, 1)], key=repr)
+    assert ids(jaccard_join.keep_firsts(df)) == sorted(["1", "2", "3", "4", "None", "None"])
+    kept = substrings.drop_repeats(df)
+    assert ids(kept) == every and {r["n_removed"] for r in kept.where("doc_id = 5").collect()} == {len(words)}
+    assert licenses.scan_licenses(df).unionAll(licenses.embedded_notices(df)).count() == 0
+
+
 def test_registry(spark):
     from passagemill.llm.registry import ORACLES, QUERIES
 
