@@ -101,7 +101,7 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/passagemill-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     written.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored = path

@@ -31,6 +31,7 @@ from ..functions.arrays import before
 from ..functions.text import barrier
 from .common import discard, hold, materialise, table
 from .tokens import U, Words, grams, mix, slices, small
+from .url_filter import LOAD, MAX_BLOCKS, _block, _mask
 
 SHINGLE = 5
 #: The least similarity, in hundredths.
@@ -297,6 +298,19 @@ def _split(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner")
     return left.select("*", fresh).join(right.select("*", fresh), ["fresh", *on], how).drop("fresh")
 
 
+def _sifted(docs: DataFrame, needed: DataFrame) -> DataFrame:
+    """``docs`` without most of the rows whose ``did`` isn't among the needed ones, so that fewer texts are exchanged.
+
+    A blocked Bloom filter, broadcast where its size, known here, allows it; else all rows.
+    """
+    blocks = max(64, needed.count() // LOAD)
+    if blocks > MAX_BLOCKS:
+        return docs
+    words = needed.groupBy(_block(F.col("did"), blocks).alias("block")).agg(F.bit_or(_mask(F.col("did"))).alias("word"))
+    possible = docs.withColumns({"block": _block(F.col("did"), blocks), "mask": _mask(F.col("did"))}).join(F.broadcast(words), "block")
+    return possible.where(F.col("word").bitwiseAND(F.col("mask")) == F.col("mask")).select("did", "text")
+
+
 def jaccard_classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, exact: bool = False) -> DataFrame:
     """Per row of ``docs(doc_id, text)``: doc_id, n_shingles and component_id.
 
@@ -318,8 +332,8 @@ def jaccard_classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     dealt = classes.select(F.col("rep").alias("did"), F.posexplode("bands").alias("band", "key")).select("key", "did", (F.col("band") < EARLY).alias("early"))
     crowds = dealt.groupBy("key").agg(F.min("did").alias("lo"), F.max("did").alias("hi"), F.count("*").alias("crowd")).where("lo < hi")
     members = hold(dealt.join(crowds.select("key", "crowd"), "key"))
-    needed = members.select("did").distinct()
-    pool = hold(docs.where("did is not null").mapInArrow(_pack, "did long, packed binary").join(needed, "did", "left_semi"))
+    needed = hold(members.select("did").distinct())
+    pool = hold(_sifted(docs.where("did is not null"), needed).mapInArrow(_pack, "did long, packed binary").join(needed, "did", "left_semi"))
 
     # Rows of one doc_id in several classes tie those together.
     reps = _split(linked.select("did", "n", "s1", "s2"), classes.select("s1", "s2", "rep"), ["s1", "s2"]).select("did", "n", "rep")
@@ -334,7 +348,7 @@ def jaccard_classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     # A tree in one block has been traversed whole.
     second = _links(_crossed(known.where(f"not early or crowd > {CROWD}").select("key", "did", "label")), pool, size, percent)
     final = components(first.unionByName(second)).withColumnRenamed("node", "rep")
-    for table_ in (members, pool):
+    for table_ in (members, needed, pool):
         table_.unpersist()
     for path in (first.stored, labels.stored):
         discard(docs.sparkSession, path)
