@@ -101,7 +101,8 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/passagemill-{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    # No marker file: without native libraries each file that the driver makes forks its JVM.
+    df.write.option("compression", "zstd").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     written.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored = path
