@@ -334,3 +334,29 @@ def test_settings_name_models(spark, tmp_path, monkeypatch):
     assert made.embedder.embed(["ab", "c"]).tolist() == [[2, 1, 32], [1, 1, 32]] and made.embedder.dim == 3
     assert made.embedder._loaded.made == ("some", "cpu") and made.embedder.embed([]).shape == (0, 3)
     assert made.embedder.__getstate__()["_loaded"] is None
+
+
+def test_plain_front_matter_is_yaml():
+    import yaml
+    from passagemill import sinks
+
+    texts = ["", "Plain words.", "It's (so)?", "Äö ü", "yes", "Null", "on", "a: b", "a #b", "a ", "- a", "7", "x\ny", "一", "a-", '"q"', "null.", "y"]
+    for text in texts:
+        for listed in ([], [text], ["ok", text]):
+            m = {"chunk_id": "chunk_001", "title": text, "summary": "", "intent": "unknown", "questions": listed, "keywords": list(listed), "parent_section": text, "token_count": 7}
+            body = yaml.dump(m, Dumper=getattr(yaml, "CSafeDumper", yaml.SafeDumper), sort_keys=False, allow_unicode=True, default_flow_style=False, width=10**9)
+            assert sinks.front_matter(m) == "---\n" + body + "---\n"
+            assert sinks.parse_rendered(sinks.render([{"chunk_ord": 0, "metadata": m, "content": "c"}])) == [{"metadata": m, "content": "c"}]
+            assert sinks._read_plain(body) in (m, None)
+    assert sinks._read_plain(body.replace("title: y", "title: yes")) is None
+
+
+def test_markdown_is_made_and_read_in_pieces(monkeypatch):
+    import pandas as pd
+    from passagemill import sinks
+
+    rows = pd.Series(["a" * 40, None, "b" * 70, "c" * 200, "d"])
+    monkeypatch.setattr(sinks, "PIECE_SIZE", 100)
+    pieces = list(sinks._pieces(rows))
+    assert [len(p) for p in pieces] == [3, 1, 1] and pd.concat(pieces).equals(rows)
+    assert list(sinks._pieces(rows[:0])) == []
