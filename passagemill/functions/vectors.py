@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,11 +23,24 @@ def cosine(a: Column, b: Column) -> Column:
     return let(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), divided)
 
 
-def adjacent_cosines(vectors: Column) -> Column:
+def float_cosine(a: Column, b: Column) -> Column:
+    """Cosine of two vectors of 32-bit floats, whose squared lengths can be multiplied without overflow.
+
+    Of whole numbers, such as word counts, one square root and one division are all that rounds: a
+    cosine that is a threshold exactly is not below it.
+    """
+
+    def divided(square: Column) -> Column:
+        return F.when(square > 0, dot(a, b) / F.sqrt(square)).otherwise(F.lit(0.0))
+
+    return let(dot(a, a) * dot(b, b), divided)
+
+
+def adjacent_cosines(vectors: Column, of: Callable[[Column, Column], Column] = cosine) -> Column:
     """Cosine of each vector with the next; none for fewer than two vectors."""
 
     def pairs(v: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.size(v) - 2), lambda i: cosine(v[i], v[i + 1]))
+        return F.transform(F.sequence(F.lit(0), F.size(v) - 2), lambda i: of(v[i], v[i + 1]))
 
     return let(vectors, lambda v: F.when(F.size(v) > 1, pairs(v)).otherwise(F.array().cast("array<double>")))
 

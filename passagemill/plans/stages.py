@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions import prompts, replies
 from ..functions.text import approx_tokens, barrier
-from ..functions.vectors import adjacent_cosines, statistics
+from ..functions.vectors import adjacent_cosines, float_cosine, statistics
 from ..operators import boundaries, chunks, paragraphs, planner
 from ..providers import ChatModel, Embedder, Retry, TokenCounter, ask, count_tokens, embed
 from ..schema import PARAGRAPHS, SECTIONS
@@ -160,7 +160,7 @@ class DetectBoundaries(_Base):
             df = _call(df, "similarities", texts, boundaries.adjacent_lexical).drop("similarities_of")
         else:
             df = context.keep(_call(df, "vectors", texts, lambda a: embed(context.embedder, a)), "vectors")
-            df = df.withColumn("similarities", adjacent_cosines(F.col("vectors"))).drop("vectors", "vectors_of")
+            df = df.withColumn("similarities", adjacent_cosines(F.col("vectors"), float_cosine)).drop("vectors", "vectors_of")
         return df.withColumn("proposals", barrier(boundaries.propose(F.col("paragraphs"), F.col("similarities"), context.config.similarity_threshold)))
 
 

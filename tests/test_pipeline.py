@@ -360,3 +360,16 @@ def test_markdown_is_made_and_read_in_pieces(monkeypatch):
     pieces = list(sinks._pieces(rows))
     assert [len(p) for p in pieces] == [3, 1, 1] and pd.concat(pieces).equals(rows)
     assert list(sinks._pieces(rows[:0])) == []
+
+
+def test_embedded_cosine_at_the_threshold(spark):
+    """Counts with squared lengths 50 and 200 and a product of 47: the cosine is 0.47, not below it."""
+    from passagemill.providers import HashEmbedder
+
+    place = {int(HashEmbedder(64).embed([w])[0].argmax()): w for w in (f"w{i}" for i in range(2000))}
+    a, b = [7, 1, 0, 0, 0, 0, 0, 0], [6, 5, 11, 3, 2, 2, 1, 0]
+    assert (sum(x * x for x in a), sum(x * x for x in b), sum(x * y for x, y in zip(a, b))) == (50, 200, 47)
+    texts = [" ".join(w for k, n in enumerate(v) for w in [place[k]] * n) for v in (a, b)] * 3
+    pipeline = Pipeline(Context(Config(similarity_threshold=0.47, atomize_sentences_per_paragraph=0), embedder=HashEmbedder(64)))
+    found = pipeline.run(from_texts(spark, ["\n\n".join(texts)])).documents.select("similarities", "proposals").first()
+    assert found["similarities"] == [0.47] * 5 and found["proposals"] == []
