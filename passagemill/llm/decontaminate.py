@@ -3,7 +3,7 @@
 Benchmark items and documents are cut into passages and weighed by TF-IDF over the benchmark's
 vocabulary; document frequencies count every passage of the corpus. A randomised SVD of the
 passages (a Nystrom sketch whose partial products tasks compute and sum) gives the latent space;
-all benchmark passages and a bounded sample of the corpus span it. Every passage of every document
+all benchmark passages and all the corpus, by half passages, span it. Every passage of every document
 is then projected, and its cosine with each benchmark passage is compared with the cosine that
 full containment in so long a passage would give: SHARE of it makes a candidate. A candidate is a
 leak if the longest common subsequence of words covers most of the item, in the words around the
@@ -14,8 +14,8 @@ and to say enough: were its words independent, it would be expected by chance in
 CHANCE corpora of this size. A single word never says that much, and so is never a leak.
 
 The benchmark is the query set: word statistics of all of it are one pass over the documents, and
-it is worked through in blocks of ITEMS items, in the order of their ids, each a pass, so what a
-task holds is bounded. Documents are never shuffled.
+it is worked through in blocks of ITEMS items, in the order of their ids, each a pass to span its
+space and one to search, so what a task holds is bounded. Documents are never shuffled.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import hold, table
+from .common import table
 from .tokens import Words, slices
 
 #: Words in half a passage: a passage is two halves, and starts every HALF words.
@@ -40,9 +40,13 @@ HALF = 32
 #: Benchmark items in one block.
 ITEMS = 4000
 RANK, OVER = 192, 8
-#: Documents of the sample that, with the benchmark, spans the latent space.
+#: Not read any more: every document spans the latent space. A test still sets it.
 SAMPLE = 4000
-#: Weight of the benchmark's passages against the sample's, as energy.
+#: Terms whose sums travel as one row.
+TERMS = 512
+#: Rows of a group that are added one at a time; what a larger group has beyond is summed at once.
+STEPS = 64
+#: Weight of the benchmark's passages against the corpus's, as energy.
 EMPHASIS = 4.0
 #: Least cosine, as a share of what a passage of that length has if it holds the whole benchmark passage.
 SHARE = 0.4
@@ -66,6 +70,37 @@ def _words(texts: list[str]) -> list[np.ndarray]:
     return out
 
 
+def _sums(group: np.ndarray, rows: np.ndarray, item: np.ndarray, n: int) -> np.ndarray:
+    """Sum of ``rows[item]`` by group, for groups up to ``n``.
+
+    One row of every group at a time, larger groups first, so that each step adds rows to a block
+    from the top: much faster than summing by segments, which is left for very large groups.
+    """
+    out = np.zeros((n, rows.shape[1]), np.float32)
+    if not len(group):
+        return out
+    count = np.bincount(group, minlength=n)
+    order = np.argsort(-count, kind="stable")
+    rank = np.empty(n, np.int64)
+    rank[order] = np.arange(n)
+    by_group = np.argsort(group, kind="stable")
+    group, item = group[by_group], item[by_group]
+    begin = np.cumsum(count) - count
+    place = np.arange(len(group)) - begin[group]
+    turn = np.argsort(np.minimum(place, STEPS) * n + rank[group], kind="stable")
+    ends = np.searchsorted(np.minimum(place, STEPS)[turn], np.arange(STEPS + 1))
+    for a, b in zip(ends[:-1], ends[1:], strict=True):
+        if a == b:
+            break
+        out[: b - a] += rows[item[turn[a:b]]]
+    if ends[-1] < len(turn):
+        rest = turn[ends[-1] :]
+        top = rank[group[rest]]
+        cut = np.flatnonzero(np.r_[True, top[1:] != top[:-1]])
+        out[top[cut]] += np.add.reduceat(rows[item[rest]], cut, axis=0)
+    return out[rank]
+
+
 class Halves:
     """The vocabulary's words of a slice, by the half passage they stand in."""
 
@@ -84,25 +119,8 @@ class Halves:
         self.n = len(self.doc)
 
     def project(self, weights: np.ndarray) -> np.ndarray:
-        """Sum of the weights' rows over each half's words.
-
-        One word of every half at a time, halves with more words first, so that each step adds
-        rows to a block from the top: much faster than summing by segments.
-        """
-        out = np.zeros((self.n, weights.shape[1]), np.float32)
-        if not len(self.term):
-            return out
-        count = np.bincount(self.half, minlength=self.n)
-        order = np.argsort(-count, kind="stable")
-        rank = np.empty(self.n, np.int64)
-        rank[order] = np.arange(self.n)
-        place = np.arange(len(self.half)) - (np.cumsum(count) - count)[self.half]
-        slots = np.zeros((int(count.max()), self.n), np.int64)
-        slots[place, rank[self.half]] = self.term
-        for j, terms in enumerate(slots):
-            active = int(np.searchsorted(-count[order], -j, "left"))  # halves of more than j words
-            out[:active] += weights[terms[:active]]
-        return out[rank]
+        """Sum of the weights' rows over each half's words."""
+        return _sums(self.half, weights, self.term, self.n)
 
     def passages(self, halves: np.ndarray) -> np.ndarray:
         """Each half together with the next of its document."""
@@ -112,21 +130,34 @@ class Halves:
         return out
 
 
-def _summed(parts: DataFrame, kind: type, shape: tuple[int, ...]) -> np.ndarray:
-    """The sum of the arrays in the rows' ``blob``: one of each of the sample's four tasks."""
+def _total(docs: DataFrame, work: Callable[[Words], np.ndarray], size: int, width: int) -> np.ndarray:
+    """The sum of ``work`` (size, width) over all texts: by each task, then by rows of TERMS terms."""
+    parts = -(-size // TERMS)
 
-    return sum((np.frombuffer(r["blob"], kind).reshape(shape) for r in parts.collect()), np.zeros(shape, kind))
-
-
-def _per_task(work: Callable[[Words], np.ndarray], kind: type, shape: tuple[int, ...]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(shape, kind)
+        total = np.zeros((size, width))
         for batch in batches:
             for words in _slices(batch.column("text")):
                 total += work(words)
-        yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], names=["blob"])
+        for k in range(parts):
+            some = total[k * TERMS : (k + 1) * TERMS]
+            if some.any():
+                yield pa.record_batch([pa.array([k]), pa.array([some.astype(np.float32).tobytes()], pa.binary())], names=["part", "blob"])
 
-    return run
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, blob in zip(batch.column("part").to_pylist(), batch.column("blob")):
+                sums[k] = sums.get(k, 0.0) + np.frombuffer(blob.as_buffer(), np.float32).astype(float)
+        for k, x in sums.items():
+            yield pa.record_batch([pa.array([k]), pa.array([x.tobytes()], pa.binary())], names=["part", "blob"])
+
+    kind = "part long, blob binary"
+    out = np.zeros((size, width))
+    for r in docs.mapInArrow(run, kind).repartition(parts, "part").mapInArrow(add, kind).toLocalIterator():
+        k = r["part"]
+        out[k * TERMS : (k + 1) * TERMS] = np.frombuffer(r["blob"], float).reshape(-1, width)
+    return out
 
 
 @dataclass
@@ -145,12 +176,12 @@ class Index:
 
 @dataclass
 class Statistics:
-    """Counts over all passages of the corpus, for all of the benchmark's words, and the sample."""
+    """Counts over all passages of the corpus, for all of the benchmark's words, and the documents."""
 
     vocabulary: np.ndarray
     found: np.ndarray  # passages with each word
     passages: int
-    sample: DataFrame | None
+    docs: DataFrame
 
     def idf(self, vocabulary: np.ndarray) -> np.ndarray:
         found = self.found[np.searchsorted(self.vocabulary, vocabulary)]
@@ -163,25 +194,22 @@ def statistics(docs: DataFrame, benchmark: DataFrame) -> Statistics:
     vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64), *words]))
     size = len(vocabulary)
     if not size:
-        return Statistics(vocabulary, np.zeros(0), 0, None)
+        return Statistics(vocabulary, np.zeros(0), 0, docs.select("text"))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size + 2, np.int64)
+        total = np.zeros(size + 1, np.int64)
         for batch in batches:
             for w in _slices(batch.column("text")):
                 h = Halves(w, vocabulary)
                 pairs = np.unique(h.half * size + h.term)
-                total += np.append(np.bincount(pairs % size, minlength=size), [h.n, len(w.bounds) - 1])
+                total += np.append(np.bincount(pairs % size, minlength=size), h.n)
         term = np.flatnonzero(total)
         yield pa.record_batch([pa.array(term), pa.array(total[term])], names=["term", "n"])
 
-    counts = np.zeros(size + 2, np.int64)
+    counts = np.zeros(size + 1, np.int64)
     for r in docs.select("text").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator():
         counts[r["term"]] = r["n"]
-    every = max(1, int(counts[size + 1]) // SAMPLE)
-    # By id as well as text, so that copies of one text are sampled as other documents are.
-    sample = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(every)) == 0).select("text").repartition(4)
-    return Statistics(vocabulary, counts[:size], int(counts[size]), hold(sample))
+    return Statistics(vocabulary, counts[:size], int(counts[size]), docs.select("text"))
 
 
 def build(known: Statistics, rows: list[tuple]) -> Index | None:
@@ -211,14 +239,10 @@ def build(known: Statistics, rows: list[tuple]) -> Index | None:
 
     def products(term: np.ndarray, passage: np.ndarray, projected: np.ndarray) -> np.ndarray:
         """The transposed TF-IDF matrix times ``projected``, by term."""
-        out = np.zeros((size, projected.shape[1] + 1))
-        if len(term):
-            order = np.argsort(term, kind="stable")
-            t = term[order]
-            cut = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
-            out[t[cut], :-1] = np.add.reduceat(projected[passage[order]], cut, axis=0) * idf[t[cut], None]
+        out = np.empty((size, projected.shape[1] + 1))
+        out[:, :-1] = _sums(term, projected, passage, size) * idf[:, None]
         # The last column adds up the energy, the sum of squared weights.
-        np.add.at(out[:, -1], term, idf[term] ** 2)
+        out[:, -1] = np.bincount(term, minlength=size) * idf**2
         return out
 
     scaled = omega * idf[:, None]
@@ -227,8 +251,7 @@ def build(known: Statistics, rows: list[tuple]) -> Index | None:
         h = Halves(w, vocabulary)
         return products(h.term, h.half, h.project(scaled))
 
-    shape = (size, width + 1)
-    corpus = _summed(known.sample.mapInArrow(_per_task(sketch, np.float64, shape), "blob binary"), np.float64, shape)
+    corpus = _total(known.docs, sketch, size, width + 1)
     bench = products(flat, of, np.add.reduceat(scaled[flat], begin, axis=0))
     scale = EMPHASIS * max(corpus[:, -1].sum(), 1e-9) / bench[:, -1].sum()
     y = bench[:, :-1] * scale + corpus[:, :-1]

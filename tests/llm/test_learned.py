@@ -317,3 +317,41 @@ def test_no_items_or_documents(spark, docs, nothing):
     assert decontaminate.find_leaks(nothing, bench).count() == 0 and decontaminate.drop_leaks(nothing, bench).count() == 0
     assert decontaminate.find_leaks(docs[1], bench.limit(0)).count() == 0
     assert decontaminate.drop_leaks(docs[1], bench.limit(0)).count() == len(docs[0])
+
+
+def test_every_document_spans_the_latent_space(spark, monkeypatch):
+    """The directions are those of an exact decomposition over all half passages of all documents."""
+    monkeypatch.setattr(decontaminate, "SAMPLE", 1)
+    monkeypatch.setattr(decontaminate, "TERMS", 7)
+    monkeypatch.setattr(decontaminate, "STEPS", 5)
+    r = random.Random(5)
+    words = [f"w{k}" for k in range(40)]
+    items = [(k, " ".join(words[int(r.random() ** 2 * 40)] for _ in range(20))) for k in range(30)]
+    texts = [" ".join(words[int(r.random() ** 3 * 40)] for _ in range(r.randint(1, 200))) for _ in range(120)]
+    docs = corpus.frame(spark, [(i, t, "", "", 0) for i, t in enumerate(texts)]).repartition(5)
+    known = decontaminate.statistics(docs, spark.createDataFrame(items, "item_id long, text string"))
+    index = decontaminate.build(known, items)
+
+    place = {w: i for i, w in enumerate(index.vocabulary.tolist())}
+    name = {w: place[int(decontaminate._words([w])[0][0])] for _, t in items for w in t.split()}
+    count = lambda ws: np.bincount([name[w] for w in ws if w in name], minlength=len(place))
+    idf = known.idf(index.vocabulary).astype(float)
+    whole = np.array([count(t.split()[a : a + 32]) for t in texts for a in range(0, len(t.split()), 32)]) * idf
+    bench = np.array([count(t.split()) for _, t in items]) * idf
+    assert known.passages == len(whole)
+    energy = [sum((np.bincount([name[w] for w in t.split() if w in name], minlength=len(place)) * idf**2).sum() for t in ts) for ts in (texts, [t for _, t in items])]
+    gram = whole.T @ whole + decontaminate.EMPHASIS * energy[0] / energy[1] * bench.T @ bench
+    want = np.linalg.eigh(gram)[1][:, ::-1]
+    got = index.weights / idf[:, None]
+    assert (abs((got * want).sum(axis=0))[:8] > 0.999).all()
+
+
+def test_sums_by_group(monkeypatch):
+    monkeypatch.setattr(decontaminate, "STEPS", 4)
+    r = np.random.default_rng(1)
+    rows = r.integers(0, 9, (30, 3)).astype(np.float32)
+    for n in (0, 1, 5, 300):
+        group, item = np.minimum(r.integers(0, 9, n), r.integers(0, 9, n)), r.integers(0, 30, n)
+        want = np.zeros((11, 3), np.float32)
+        np.add.at(want, group, rows[item])
+        assert (decontaminate._sums(group, rows, item, 11) == want).all()
