@@ -84,6 +84,30 @@ def test_pipeline_by_brute_force(spark):
             total += n
 
 
+def test_decontamination_stage_spans_all_documents(spark, monkeypatch, tmp_path):
+    """Each of 20 documents pairs two words of its own, and the benchmark others: a space of rank 20 that holds all those pairs took every document."""
+    import corpus
+    import corpus_pipeline
+    import numpy as np
+
+    from passagemill.llm import decontaminate
+
+    built, build = [], decontaminate.build
+    monkeypatch.setattr(decontaminate, "build", lambda *args: built.append(build(*args)) or built[-1])
+    monkeypatch.setattr(decontaminate, "SAMPLE", 1)
+    monkeypatch.setattr(decontaminate, "RANK", 20)
+    monkeypatch.setattr(decontaminate, "EMPHASIS", 1e-3)
+    spark.createDataFrame([(k, f"a{k} c{k} b{(k + 1) % 20} d{k}") for k in range(20)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = corpus.frame(spark, [(k, f"a{k} b{k} " * 16, "", "", 0) for k in range(20)]).repartition(5)
+    assert corpus_pipeline.benchmark_leaks(spark, docs, str(tmp_path)).count() == 20
+
+    (index,) = built
+    idf = decontaminate.statistics(docs, spark.read.parquet(f"{tmp_path}/benchmark.parquet")).idf(index.vocabulary)
+    for k in range(20):
+        pair = np.isin(index.vocabulary, np.concatenate(decontaminate._words([f"a{k} b{k}"]))) / 2**0.5
+        assert np.linalg.norm(pair @ (index.weights / idf[:, None])) > 0.99
+
+
 @pytest.fixture(scope="module")
 def extremes(spark):
     """A text of some MB, one of a single word that long, rows without an id, without a text, and twice the same."""
